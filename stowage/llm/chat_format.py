@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stowage.llm.util import prefix_sums
+from stowage.llm.util import with_prefix_sums
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 TARGET, SYSTEM = "assistant", "system"
@@ -89,7 +89,7 @@ def windows(conversations: DataFrame, budget: int = 2048, history: int = 512, hi
     df = df.select("conv_id", "segment", "window", "new", repeated.alias("repeated"))
     df = df.withColumn("shown", F.concat("repeated", "new")).withColumn("parts", F.transform("shown", render))
     df = df.withColumn("lengths", F.transform("parts", lambda x: F.length(x).cast("long")))
-    df = df.withColumn("starts", prefix_sums(F.col("lengths")))
+    df = with_prefix_sums(df, "lengths", "starts")
     head = lambda t: F.length(escape_role(t["role"])) + len(START) + 1
     spans = F.transform("shown", lambda t, i: F.struct((F.get("starts", i) + head(t)).cast("long").alias("start"), (F.get("starts", i) + F.get("lengths", i) - len(END)).cast("long").alias("end"), ((i >= F.size("repeated")) & (t["role"] == TARGET)).alias("loss")))
     loss = F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"], s["end"]))

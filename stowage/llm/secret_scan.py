@@ -17,45 +17,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.util import group_key, materialise, prefix_sums
+from stowage.llm.util import group_key, materialise, with_prefix_sums
 
 #: kind, Java regex, group whose length counts, least length. In the order in which spans of one start come.
+#: Runs of one class of characters that are too short can be left to the regex; a failing assignment takes its text.
 KINDS = (
     ("assign", r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
-    ("access", r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", r"[0-9a-f]+", 0, 24),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
-#: A text without a match of one of these has no span of that kind.
-HINTS = {"assign": KINDS[0][1], "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
-def _matches(text: str, pattern: str, group: int, least: int, kind: int, extra: bool) -> Column:
-    """Spans (start, kind, end[, value]) of the leftmost non-overlapping matches whose group is long enough.
+def _spans(df: DataFrame, out: str, pattern: str, group: int, least: int, kind: int, values: bool = False) -> DataFrame:
+    """Add `out`: spans (start, kind, end[, value]) of the leftmost non-overlapping matches in __t whose group is long enough.
 
     A text is what lies between the matches and the matches in turn, so that lengths give the places.
     """
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    counted = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), group)
-    return F.struct(F.transform(between, lambda x: F.length(x).cast("long")).alias("gap"), F.transform(found, lambda x: F.length(x).cast("long")).alias("len"), (found if extra else counted).alias("value"))
-
-
-def _places(m: str, least: int, kind: int, extra: bool) -> Column:
-    gap, n, value, before = (F.col(f"{m}.{x}") for x in ("gap", "len", "value", "before"))
-    span = lambda i: [(F.get(before, i) + F.get(gap, i)).alias("start"), F.lit(kind).alias("kind"), (F.get(before, i) + F.get(gap, i) + F.get(n, i)).alias("end")]
-    every = F.transform(value, lambda x, i: F.struct(*span(i), x.alias("value")))
-    return F.filter(every, lambda s: F.length(s["value"]) >= least)
-
-
-def _spans(df: DataFrame, text: str, out: str, pattern: str, group: int, least: int, kind: int, hint: str, extra: bool = False) -> DataFrame:
-    df = df.withColumn("__m", F.when(F.col(text).rlike(hint), _matches(text, pattern, group, least, kind, extra)))
-    df = df.withColumn("__m", F.col("__m").withField("before", prefix_sums(F.zip_with(F.slice(F.col("__m.gap"), 1, F.size("__m.len")), F.col("__m.len"), lambda a, b: a + b))))
-    places = _places("__m", least, kind, extra)
-    if not extra:
-        places = F.transform(places, lambda s: F.struct(s["start"], s["kind"], s["end"]))
-    kept = F.coalesce(F.when(F.col("__m").isNotNull(), places), F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>" if extra else SPAN))
-    return df.withColumn(out, kept).drop("__m")
+    hit = F.col("__t").rlike(pattern)
+    length = lambda x: F.length(x).cast("long")
+    df = df.withColumn("__found", F.when(hit, F.regexp_extract_all("__t", F.lit(pattern), 0)))
+    counted = F.col("__found") if group == 0 else F.when(hit, F.regexp_extract_all("__t", F.lit(pattern), group))
+    df = df.withColumn("__value", counted).withColumn("__gaps", F.when(hit, F.transform(F.split("__t", pattern, -1), length)))
+    df = df.withColumn("__both", F.zip_with(F.slice("__gaps", 1, F.size("__found")), F.transform("__found", length), lambda a, b: a + b))
+    df = with_prefix_sums(df, "__both", "__before")
+    at, after = (lambda i: F.get("__before", i) + F.get("__gaps", i)), (lambda i: F.get("__before", i) + F.get("__both", i))
+    span = lambda x, i: F.struct(at(i).alias("start"), F.lit(kind).alias("kind"), after(i).alias("end"), x.alias("value"))
+    df = df.withColumn(out, F.filter(F.transform("__value", span), lambda s: F.length(s["value"]) >= least))
+    if not values:
+        df = df.withColumn(out, F.transform(out, lambda s: F.struct(s["start"], s["kind"], s["end"])))
+    nothing = F.array().cast(SPAN[:-2] + ",value:string>>" if values else SPAN)
+    return df.withColumn(out, F.coalesce(out, nothing)).drop("__found", "__value", "__gaps", "__both", "__before")
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -66,8 +59,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     names = [c for c in docs.columns if c != text_col]
     df = docs.withColumn("__t", F.coalesce(F.col(text_col), F.lit(""))).drop(text_col)
     for k, (kind, pattern, group, least) in enumerate(KINDS):
-        df = _spans(df, "__t", f"__{kind}", pattern, group, least, k, HINTS[kind])
-    df = _spans(df, "__t", "__token", TOKEN, 0, 20, len(KINDS), TOKEN, extra=True)
+        df = _spans(df, f"__{kind}", pattern, group, least, k)
+    df = _spans(df, "__token", TOKEN, 0, 20, len(KINDS), values=True)
     mixed = F.filter("__token", lambda s: s["value"].rlike("[0-9].*[0-9]") & s["value"].rlike("[A-Za-z].*[A-Za-z]"))
     tokens = F.transform(mixed, lambda s: F.struct(s["start"], s["end"], F.sha2(s["value"], 256).alias("hash")))
     base = F.sort_array(F.concat(*(f"__{kind}" for kind, *_ in KINDS)))
@@ -116,8 +109,8 @@ def redact(docs: DataFrame, most_owners: int = 1, mark: str = "<secret>") -> Dat
     names = docs.columns
     text = F.coalesce(F.col("text"), F.lit(""))
     maybe = F.lit(False)
-    for hint in (*HINTS.values(), TOKEN):
-        maybe = maybe | text.rlike(hint)
+    for pattern in (*(k[1] for k in KINDS), TOKEN):
+        maybe = maybe | text.rlike(pattern)
     df = judged(docs.where(maybe), most_owners=most_owners)
     example = lambda b: F.exists("verdicts", lambda v: ~v["live"] & (v["start"] < b["end"]) & (b["start"] < v["end"]))
     pair = lambda s: F.struct(s["start"], s["end"])

@@ -69,13 +69,17 @@ def ranked(df: DataFrame, group: str, order: list[str], buckets: int, seed: int
     return df.withColumn("rank", F.col("before") + F.col("__i")).drop("__i", "__h", "__b", "before")
 
 
-def prefix_sums(lengths, block: int = 256):
-    """Array of the sums of the elements before each element of a long array, in blocks: n * block / 2 steps."""
-    n = F.size(lengths)
+def with_prefix_sums(df: DataFrame, lengths: str, out: str, block: int = 256) -> DataFrame:
+    """Add `out`: for each element of the long array column `lengths` the sum of the elements before it.
+
+    In blocks: n * block / 2 steps. What lambdas look up are columns, as an expression would be worked out anew
+    for each element.
+    """
     add = lambda a, x: a + x
     zero = F.lit(0).cast("long")
-    count = F.ceil(n / F.lit(block)).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda b: F.aggregate(F.slice(lengths, b * block + 1, F.lit(block)), zero, add))
-    starts = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda b: F.aggregate(F.slice(blocks, F.lit(1), b), zero, add))
-    each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(starts, F.floor(i / block).cast("int")) + F.aggregate(F.slice(lengths, F.floor(i / block).cast("int") * block + 1, F.pmod(i, F.lit(block))), zero, add))
-    return F.when(n > 0, each).otherwise(F.array().cast("array<bigint>"))
+    n = F.size(lengths)
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / block).cast("int") - 1, F.lit(0))), lambda b: F.aggregate(F.slice(lengths, b * block + 1, F.lit(block)), zero, add))
+    df = df.withColumn("__sums", blocks)
+    df = df.withColumn("__starts", F.transform("__sums", lambda x, b: F.aggregate(F.slice("__sums", F.lit(1), b), zero, add)))
+    each = F.transform(lengths, lambda x, i: F.get("__starts", F.floor(i / block).cast("int")) + F.aggregate(F.slice(lengths, F.floor(i / block).cast("int") * block + 1, F.pmod(i, F.lit(block))), zero, add))
+    return df.withColumn(out, each).drop("__sums", "__starts")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stowage.llm import chat_format, components, decontamination, jaccard, language_id, packing, quality_classifier, quality_rules, queries, secret_scan, sharding, url_filter
-from stowage.llm.util import prefix_sums, ranked
+from stowage.llm.util import ranked, with_prefix_sums
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, tokens int, n int, score string"
@@ -69,7 +69,7 @@ def split_words(text):
 def test_prefix_sums_and_ranks(spark):
     n = [random.Random(1).randint(0, 9) for _ in range(1000)]
     df = spark.createDataFrame([(n,), ([],)], "n array<long>")
-    got = [r[0] for r in df.select(prefix_sums(F.col("n"), block=16)).collect()]
+    got = [r["s"] for r in with_prefix_sums(df, "n", "s", block=16).collect()]
     assert got == [[sum(n[:i]) for i in range(1000)], []]
     rows = spark.createDataFrame([("h" if i % 3 else "c", i // 2) for i in range(999)], "g string, i long")
     seen = defaultdict(list)
