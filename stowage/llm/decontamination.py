@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stowage.llm.util import map_arrow
+
 #: 1: the word counts, 0: it may differ. Items of fewer words than a mask use masks of their own length.
 MASKS = ("11101100101", "11010011011", "10110101101")
 WORD = re.compile(r"[^\W_]+")
@@ -141,7 +143,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 rows = [(i, *x) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in sent.value.find(t.as_py() or "")]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names)
 
-        part = few.mapInArrow(search, schema)
+        part = map_arrow(few, search, schema)
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -156,5 +158,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                 texts = batch.column(batch.schema.get_field_index(text_col))
                 yield batch.filter(pa.array([not sent.value.find(t.as_py() or "") for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = map_arrow(docs, keep, docs.schema)
     return docs

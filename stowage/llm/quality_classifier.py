@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stowage.llm.util import map_arrow, slices
+
 SOURCES, LANGS = 64, 16
 TEXT_WIDTH, META_WIDTH = 256 + 8, SOURCES + LANGS + 6
 
@@ -123,7 +125,7 @@ def features(rows: DataFrame, extra: list[str]) -> DataFrame:
             m = pa.array([meta_view(t, s, g).tobytes() for t, s, g in zip(texts, get["source"].to_pylist(), get["lang"].to_pylist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(get[k] for k in extra), x, m], [*extra, "x", "m"])
 
-    return rows.mapInArrow(view, schema)
+    return map_arrow(rows, view, schema)
 
 
 def gathered(rows: list, key: str, width: int) -> np.ndarray:
@@ -154,16 +156,13 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = []
-            ids, texts, sources, langs = (batch.column(i) for i in range(4))
-            for at in range(0, len(ids), 256):  # features of so many rows at a time
-                part = [t.as_py() or b"" for t in texts[at : at + 256]]
-                x = np.array([text_view(t) for t in part])
-                m = np.array([meta_view(t, s, g) for t, s, g in zip(part, sources[at : at + 256].to_pylist(), langs[at : at + 256].to_pylist(), strict=True)])
-                values.append(sent.value.score(x, m))
-            p = np.concatenate(values) if values else np.zeros(0)
+        for batch in slices(batches, 256):
+            ids, texts, sources, langs = batch.columns
+            texts = [t.as_py() or b"" for t in texts]
+            x = np.array([text_view(t) for t in texts], "float32").reshape(-1, TEXT_WIDTH)
+            m = np.array([meta_view(*r) for r in zip(texts, sources.to_pylist(), langs.to_pylist(), strict=True)], "float32").reshape(-1, META_WIDTH)
+            p = sent.value.score(x, m)
             yield pa.RecordBatch.from_arrays([ids, pa.array(p), pa.array(p >= threshold)], ["doc_id", "score", "kept"])
 
     few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "source", "lang")
-    return few.mapInArrow(scored, "doc_id long, score double, kept boolean")
+    return map_arrow(few, scored, "doc_id long, score double, kept boolean")

@@ -21,7 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stowage.llm.util import group_key, materialise, words
+from stowage.llm.util import group_key, words
+from stowage.session import materialise
 
 DIM = 5
 PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]

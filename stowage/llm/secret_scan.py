@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.util import group_key, materialise, with_prefix_sums
+from stowage.llm.util import group_key, with_prefix_sums
+from stowage.session import materialise
 
 #: kind, Java regex, group whose length counts, least length. In the order in which spans of one start come.
 #: Runs of one class of characters that are too short can be left to the regex; a failing assignment takes its text.

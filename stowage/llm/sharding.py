@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stowage.llm.util import group_key, materialise, offsets, ranked
+from stowage.llm.util import group_key, offsets, ranked
+from stowage.session import materialise
 
 
 def interleave(rows: DataFrame, stratum: str = "source", order: tuple[str, ...] = ("doc_id",), shards: int = 16, seed: int = 42, rank_buckets: int = 64, position_buckets: int = 4096) -> DataFrame:

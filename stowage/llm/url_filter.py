@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stowage.llm.util import map_arrow
+
 #: Below any character of a host or path, so that a host sorts before its subdomains.
 END, LABEL = "\x00", "\x01"
 
@@ -93,4 +95,4 @@ def _block(pages: DataFrame, ordered: list[tuple[str, str, str]]) -> DataFrame:
             column["verdict"] = pa.array([b[2] if b else v for b, v in zip(best, column["verdict"].to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(list(column.values()), list(column))
 
-    return pages.mapInArrow(judged, pages.schema)
+    return map_arrow(pages, judged, pages.schema)

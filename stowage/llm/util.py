@@ -1,39 +1,32 @@
-"""Shared pieces of the training-data operators: shared-folder tables, exact distributed ranks, words."""
+"""Shared pieces of the training-data operators: exact distributed ranks, words, batches."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Java regex of the separators of words: space and the ASCII controls 09 to 0D.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, a temporary folder in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + os.path.join(tempfile.gettempdir(), "stowage-checkpoints")
-    return found
+def map_arrow(df: DataFrame, function, schema):
+    """df.mapInArrow with batches of 1024 rows at most: texts of any length stand in them, in the JVM and in Python.
 
+    Lowers the session's setting where it is higher; results do not depend on it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= 1024:
+        conf.set(key, "1024")
+    return df.mapInArrow(function, schema)
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors.
 
-    The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stowage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that what is made of them stays small."""
+    return (b.slice(at, rows) for b in batches for at in range(0, max(b.num_rows, 1), rows))
 
 
 def words(text):
