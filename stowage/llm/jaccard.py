@@ -7,8 +7,10 @@ similarity of their sets is `percent` or more; every such pair counts, however f
 2. Sizes are banded so that linked sets lie in one band or two neighbours; a tile is a band and the top of the one
    below. In a tile linked sets differ in at most d shingles. The shingles are dealt into k = d + r parts by their
    hash; linked sets agree in r parts at least. A part's checksum is a key.
-3. Keys that one node has alone lead nowhere. Of k keys the d + 1 rarest suffice to meet (prefix filter), so that
-   the most frequent ones, those of passages that many documents share, are not used.
+3. Keys that one set has alone lead nowhere; a set of whose keys fewer than r are shared links with none. The shared
+   keys are few; a bitmap of them (of a fixed size: it only spares work) drops the others before they are shuffled.
+   Of k keys the d + 1 rarest suffice to meet (prefix filter), so that the most frequent ones, those of passages that
+   many documents share, are not used.
 4. Nodes of a key are compared with its smallest node first. What is verified becomes components; of the keys whose
    nodes are still in different components every pair is compared, in blocks. The sizes and the bit counts of the
    bitmaps' difference bound the overlap from above; the pairs that are left are verified by intersecting the arrays.
@@ -33,9 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.components import connected
-from stowage.llm.util import materialise
+from stowage.llm.util import map_arrow, slices
+from stowage.session import materialise
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -73,25 +76,26 @@ class Shingles:
 
 @cache
 def bands(percent: int, upto: int) -> tuple[int, ...]:
-    """Smallest sizes of the bands, up to one beyond `upto`; each band reaches as far as a linked set can."""
-    low = [1]
-    while low[-1] <= upto:
-        low.append(max(low[-1] + 1, -(-low[-1] * max(125, -(-10000 // percent)) // 100)))
-    return (*low, max(low[-1] + 1, -(-low[-1] * max(125, -(-10000 // percent)) // 100)))
+    """Smallest sizes of the bands, up to two beyond `upto`; each band reaches as far as a linked set can, and 3 : 5 at least."""
+    low, ratio = [1], max(167, -(-10000 // percent))
+    while low[-1] <= upto or len(low) < 3 or low[-2] <= upto:
+        low.append(max(low[-1] + 1, -(-low[-1] * ratio // 100)))
+    return tuple(low)
 
 
 def shape(low: int, percent: int) -> tuple[int, int, int]:
     """Of a tile whose sets are smaller than `low` of the next band: d, k and bits."""
     largest = low - 1
     d = (100 - percent) * 2 * largest // (100 + percent)
-    return d, d + max(1, d // 3), min(4096, max(64, 1 << (largest - 1).bit_length()))
+    return d, d + max(1, d // 10), min(4096, max(64, 1 << (largest - 1).bit_length()))
 
 
 def keys(s: np.ndarray, tile: int, k: int) -> np.ndarray:
+    """Checksums of the k parts. 48 bits: two that are equal by chance are a meeting more, which is verified away."""
     part = ((s >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)  # grows with s, which is sorted
     edges = np.searchsorted(part, np.arange(k + 1, dtype="uint64"))
     sums = np.concatenate([np.zeros(1, "uint64"), np.cumsum(mix(s), dtype="uint64")])
-    return mix((sums[edges[1:]] - sums[edges[:-1]]) + mix(np.arange(k, dtype="uint64") + np.uint64(tile << 32))).view("int64")
+    return (mix((sums[edges[1:]] - sums[edges[:-1]]) + mix(np.arange(k, dtype="uint64") + np.uint64(tile << 32))) >> np.uint64(16)).view("int64")
 
 
 def bitmap(s: np.ndarray, bits: int) -> bytes:
@@ -99,40 +103,74 @@ def bitmap(s: np.ndarray, bits: int) -> bytes:
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype("int64"), minlength=bits) & 1).astype("uint8").tobytes()
 
 
+def tiles(n: int, percent: int) -> Iterator[tuple[int, int, int, int]]:
+    """Tiles of a set of n shingles in which unequal sets can link: tile, d, k, bits."""
+    low = bands(percent, 1 << max(8, n.bit_length() + 1))
+    own = int(np.searchsorted(low, n, "right")) - 1
+    for tile in (own, own + 1):
+        if tile == own or 100 * n >= percent * low[tile]:
+            d, k, bits = shape(low[tile + 1], percent)
+            if d:
+                yield tile, d, k, bits
+
+
+def set_hash(s: np.ndarray) -> tuple[int, int]:
+    """128 bits as two longs."""
+    hi, lo = divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64)
+    return hi - (hi >> 63 << 64), lo - (lo >> 63 << 64)
+
+
+def table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
+
+
+def set_keys(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """hi and keys of each tile of each set of docs (i, t)."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(shingle)
+        for batch in slices(batches):
+            rows = []
+            for text in batch.column(1):
+                if len(s := shingles(text.as_py())):
+                    hi, _ = set_hash(s)
+                    rows += [(hi, keys(s, tile, k)) for tile, _, k, _ in tiles(len(s), percent)]
+            yield table(rows, ["hi", "keys"], [pa.int64(), pa.list_(pa.int64())])
+
+    return map_arrow(docs, sketch, "hi long, keys array<bigint>")
+
+
 SKETCH = "doc_id long, n long, hi long, lo long, own boolean, tile int, d int, k int, keys array<bigint>, bits binary"
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """A row for each document (own) and one more for each whose linked sets may lie in the next band."""
+def sketches(docs: DataFrame, shingle: int, percent: int, shared: np.ndarray) -> DataFrame:
+    """Of docs (i, t): a row for each document (own), and one for each tile in which it can link, with bitmap and shared keys.
+
+    shared: bitmap of the keys that two different sets have. A set with fewer than k - d of them in a tile links with none there.
+    """
     names = [x.split()[0] for x in SKETCH.split(", ")]
     types = [pa.int64()] * 4 + [pa.bool_()] + [pa.int32()] * 3 + [pa.list_(pa.int64()), pa.binary()]
+    sent = docs.sparkSession.sparkContext.broadcast(shared)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(shingle)
-        for batch in batches:
+        shingles, words = Shingles(shingle), sent.value
+        places = np.uint64(64 * len(words))
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingles(text.as_py())
-                n = len(s)
-                if not n:
-                    rows.append((doc_id, 0, None, None, True, None, None, None, None, None))
-                    continue
-                h = xxhash.xxh3_128_intdigest(s.tobytes())
-                hi, lo = ((x ^ (1 << 63)) - (1 << 63) for x in divmod(h, 1 << 64))
-                low = bands(percent, 1 << max(8, n.bit_length() + 1))
-                own = int(np.searchsorted(low, n, "right")) - 1
-                for tile in (own, own + 1):
-                    if tile > own and 100 * n < percent * low[tile]:
-                        break
-                    d, k, bits = shape(low[tile + 1], percent)
-                    if d:
-                        rows.append((doc_id, n, hi, lo, tile == own, tile, d, k, keys(s, tile, k), bitmap(s, bits)))
-                    elif tile == own:
-                        rows.append((doc_id, n, hi, lo, True, tile, d, k, None, None))
-            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
-
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t")).mapInArrow(sketch, SKETCH)
+                hi, lo = set_hash(s) if len(s) else (None, None)
+                rows.append((doc_id, len(s), hi, lo, True, None, None, None, None, None))
+                for tile, d, k, bits in tiles(len(s), percent) if len(s) and doc_id is not None else ():
+                    found = keys(s, tile, k)
+                    at = found.view("uint64") % places
+                    found = found[(words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+                    if len(found) >= k - d:
+                        rows.append((doc_id, len(s), hi, lo, False, tile, d, k, found, bitmap(s, bits)))
+            yield table(rows, names, types)
+
+    return map_arrow(docs, sketch, SKETCH)
 
 
 def possible(n1, n2, differ, percent: int):
@@ -153,7 +191,7 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shin
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(shingle)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["node", "s"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,16 +203,19 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shin
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    sets = materialise(few.mapInArrow(hashed, "node long, s binary").dropDuplicates())
+    sets = materialise(map_arrow(few, hashed, "node long, s binary").dropDuplicates())
     sets_a, sets_b = sets.select(F.col("node").alias("a"), F.col("s").alias("x")), sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
     joined = pairs.join(sets_a, "a").join(sets_b, "b").select("a", "b", "x", "y")
-    return materialise(joined.mapInArrow(linked, "a long, b long").distinct())
+    return materialise(map_arrow(joined, linked, "a long, b long").distinct())
 
 
-def hub_pairs(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each node with the smallest node of its key, if the bitmaps let them link."""
-    hubs = met.groupBy("key").agg(F.min(F.struct("node", "n", "bits")).alias("hub"))
-    near = met.join(hubs, "key").where(F.col("node") != F.col("hub.node")).select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("n1"), F.col("n").alias("n2"), F.col("hub.bits").alias("x"), F.col("bits").alias("y"))
+def hub_pairs(met: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each node with the smallest node of its key, if the bitmaps let them link. met: key, tile, node; sizes: node, tile, n, bits."""
+    hubs = met.groupBy("key").agg(F.min("node").alias("hub"))
+    near = met.join(hubs, "key").where(F.col("node") != F.col("hub")).select("tile", F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    near = near.join(sizes.select("tile", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("x")), ["tile", "a"])
+    near = near.join(sizes.select("tile", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("y")), ["tile", "b"])
+    near = near.select("a", "b", "n1", "n2", "x", "y")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,16 +224,16 @@ def hub_pairs(met: DataFrame, percent: int) -> DataFrame:
             good = possible(get["n1"].to_numpy(), get["n2"].to_numpy(), np.array(differ, "int64"), percent)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return near.mapInArrow(bounded, "a long, b long").distinct()
+    return map_arrow(near, bounded, "a long, b long").distinct()
 
 
-def tile_pairs(met: DataFrame, percent: int, block: int) -> DataFrame:
+def tile_pairs(met: DataFrame, sizes: DataFrame, percent: int, block: int) -> DataFrame:
     """Pairs of nodes of one key and different components that the sizes and bitmaps let link.
 
-    met: key, node, component, n, bits. A key with more than `block` nodes is worked on in pairs of blocks.
+    met: key, tile, node, component; sizes: node, tile, n, bits. A key with more than `block` nodes is worked on in pairs of blocks.
     """
     mixed = met.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2")
-    df = met.join(mixed.select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "key")
+    df = met.join(mixed.select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "key").join(sizes, ["node", "tile"])
     df = df.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     df = df.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "n", "node", "component", "bits")
@@ -227,35 +268,50 @@ def tile_pairs(met: DataFrame, percent: int, block: int) -> DataFrame:
         out = compare(group) if group else []
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return df.mapInArrow(sweep, "a long, b long").distinct()
+    return map_arrow(df, sweep, "a long, b long").distinct()
+
+
+def shared_keys(sets: DataFrame) -> DataFrame:
+    """key and c, the rows that have it, of the keys that two different sets have."""
+    counted = sets.select("hi", F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("hi").alias("x"), F.max("hi").alias("y"))
+    return counted.where("x != y").select("key", "c")
+
+
+def key_bitmap(shared: DataFrame, bits: int) -> np.ndarray:
+    """Bit key mod bits is set for each of the shared keys; the driver gathers bits / 64 words at most."""
+    place = F.pmod("key", F.lit(bits))
+    words = shared.groupBy(F.shiftright(place, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {bits}) % 64 as int))")).alias("m")).toArrow()
+    out = np.zeros(bits // 64, "int64")
+    out[words.column("w").to_numpy()] = words.column("m").to_numpy()
+    return out.view("uint64")
 
 
-def meetings(nodes: DataFrame) -> DataFrame:
-    """key, node, n, bits for the keys that lead somewhere: held by two nodes or more, and among a node's d + 1 rarest."""
-    records = nodes.select("node", "tile", F.explode("keys").alias("key"))
-    shared = records.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    mine = records.join(shared, "key").groupBy("node", "tile").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("found"))
-    df = mine.join(nodes.select("node", "tile", "n", "d", "k", "bits"), ["node", "tile"])
-    room = F.col("d") + 1 - (F.col("k") - F.size("found"))  # keys of one node alone are the rarest
-    df = df.where(room > 0).select(F.explode(F.slice("found", 1, room)).alias("f"), "node", "n", "bits")
-    return df.select(F.col("f.key").alias("key"), "node", "n", "bits")
+def meetings(nodes: DataFrame, shared: DataFrame) -> DataFrame:
+    """key, tile, node for the shared keys that are among a node's d + 1 rarest."""
+    records = nodes.select("node", "tile", (F.col("d") + 1 - F.col("k")).alias("room"), F.explode("keys").alias("key"))
+    df = records.join(shared, "key").groupBy("node", "tile").agg(F.first("room").alias("room"), F.sort_array(F.collect_list(F.struct("c", "key"))).alias("found"))
+    room = F.col("room") + F.size("found")  # keys of one set alone are the rarest
+    return df.where(room > 0).select(F.explode(F.slice("found", 1, room)).alias("f"), "tile", "node").select(F.col("f.key").alias("key"), "tile", "node")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, block: int = 2000, broadcast_ids: int = 1_000_000) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, block: int = 2000, broadcast_ids: int = 1_000_000, key_bits: int = 1 << 25) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each document."""
-    all_rows = materialise(sketches(docs, id_col, text_col, shingle, percent))
+    few = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t"))
+    shared = materialise(shared_keys(set_keys(few, shingle, percent)))
+    all_rows = materialise(sketches(few, shingle, percent, key_bitmap(shared, key_bits)))
     own = all_rows.where("own").select("doc_id", "n", "hi", "lo")
     classes = materialise(own.where(F.col("n") > 0).groupBy("hi", "lo").agg(F.min("doc_id").alias("node")))
     named = classes.where(F.col("node").isNotNull()).select("node", F.col("hi").alias("h"), F.col("lo").alias("l"))
-    rows = all_rows.where(F.col("keys").isNotNull()).drop("own").withColumnRenamed("doc_id", "node")
-    rows = rows.join(named, "node").where("hi = h and lo = l").select("node", "n", "tile", "d", "k", "keys", "bits").dropDuplicates(["node", "tile"])
-    met = materialise(meetings(materialise(rows)))
+    rows = all_rows.where("not own").withColumnRenamed("doc_id", "node").join(named, "node").where("hi = h and lo = l")
+    rows = rows.select("node", "n", "tile", "d", "k", "keys", "bits").dropDuplicates(["node", "tile"])
+    rows = materialise(rows)
+    met, sizes = materialise(meetings(rows, shared)), rows.select("node", "tile", "n", "bits")
 
     check = lambda pairs: verified(docs, materialise(pairs), id_col, text_col, shingle, percent, broadcast_ids)
-    links = check(hub_pairs(met, percent))
+    links = check(hub_pairs(met, sizes, percent))
     known = materialise(connected(links))
-    labelled = met.join(known, "node", "left").select("key", "node", "n", "bits", F.coalesce("component", "node").alias("component"))
-    more = check(tile_pairs(labelled, percent, block))
+    labelled = met.join(known, "node", "left").select("key", "tile", "node", F.coalesce("component", "node").alias("component"))
+    more = check(tile_pairs(labelled, sizes, percent, block))
     # known components stand for their links
     known = connected(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
     lone = classes.join(known, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
