@@ -3,7 +3,8 @@
 The pieces are those of a fixed public vocabulary; each language has a probability for each piece, estimated by
 expectation maximisation over all segmentations of its words. A word's probability in a language is the sum over
 all ways to cut it into pieces (the forward algorithm), a text's the product over its words: pieces never join
-words, so that each distinct word is summed once and its figures are kept.
+words, so that each distinct word is summed once and its figures are kept. New words of a batch are summed
+together, all words of one length and all languages in one step of the algorithm.
 
 Learned from a bounded sample of labelled rows: about `fit_rows` documents a language, chosen by a hash of the
 id. All texts are scored whole. Null texts and texts without a letter get `und` and score 0; with nothing to
@@ -12,7 +13,6 @@ learn from every text gets `und`. Languages with an equal score go by name. Repe
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -22,17 +22,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stowage.llm.util import map_arrow, slices
+
 #: Probability of one character that is no piece, in any language.
 UNKNOWN = 1e-7
 #: Added to each piece's expected count.
 SMOOTHING = 0.05
 #: Words are cut every so many characters before they are segmented, so that products stay above the smallest float.
 CHUNK = 40
-CACHED_WORDS, CACHED_CHARS = 400_000, 48
+CACHED_WORDS, CACHED_CHARS = 150_000, 48
+#: Rows of a batch that are worked on together.
+ROWS = 1024
+BASE = np.uint64(0x9E3779B97F4A7C15)
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def public_pieces(path: str | None = None, longest: int = 12) -> list[str]:
+def public_pieces(path: str | None = None, longest: int = 8) -> list[str]:
     """Pieces of a sentencepiece vocabulary, lower case, without marks of word starts; in order and once each."""
     import sentencepiece
 
@@ -110,7 +115,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             rows = [(lang, w.decode(), n) for lang, c in seen.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
-    return texts.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return map_arrow(texts, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_rows: int = 300, pieces: list[str] | None = None) -> dict[str, list[float]]:
@@ -131,6 +136,74 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     return fit(counts, pieces or public_pieces())
 
 
+class Scorer:
+    """Log probabilities of many words in all languages, by the forward algorithm over columns of characters."""
+
+    def __init__(self, pieces: list[str], tables: list[list[float]]):
+        self.longest = max(map(len, pieces), default=1)
+        # rows of p: pieces, an unknown character, no piece
+        self.p = np.array([[*t, 0.0] for t in tables]).T.copy()
+        self.unknown, self.none = len(pieces), len(pieces) + 1
+        codes = np.array([self.code(np.frombuffer(x.encode("utf-32-le"), "uint32").astype("uint64")) for x in pieces], "uint64")
+        self.bits = max(16, (64 * len(codes)).bit_length())
+        self.slots = np.full(1 << self.bits, self.none, "int32")
+        self.more: dict[int, int] = {}  # codes whose slot is taken
+        for k, c in enumerate(codes.tolist()):
+            slot = c >> (64 - self.bits)
+            if self.slots[slot] == self.none:
+                self.slots[slot] = k
+            else:
+                self.more[c] = k
+        self.crowded = np.zeros(1 << self.bits, bool)
+        self.crowded[[c >> (64 - self.bits) for c in self.more]] = True
+        self.codes = np.concatenate([codes, np.zeros(2, "uint64")])
+
+    @staticmethod
+    def code(chars: np.ndarray) -> int:
+        h = 0
+        for c in chars.tolist():
+            h = (h + c + 1) * int(BASE) % (1 << 64)
+        return h
+
+    def ids(self, h: np.ndarray) -> np.ndarray:
+        slot = h >> np.uint64(64 - self.bits)
+        k = self.slots[slot]
+        out = np.where(self.codes[k] == h, k, self.none)
+        for i in np.argwhere(self.crowded[slot] & (out == self.none)):
+            out[tuple(i)] = self.more.get(int(h[tuple(i)]), self.none)
+        return out
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        """A row for each word; longer ones are cut every CHUNK characters."""
+        parts = [(i, x) for i, w in enumerate(words) for x in chunks(w)]
+        out = np.zeros((len(words), self.p.shape[1]))
+        by: dict[int, list[int]] = defaultdict(list)
+        for k, (_, x) in enumerate(parts):
+            by[len(x)].append(k)
+        for n, members in by.items():
+            chars = np.frombuffer("".join(parts[k][1] for k in members).encode("utf-32-le", "surrogatepass"), "uint32").reshape(-1, n).astype("uint64")
+            h, found = np.zeros_like(chars), []
+            for m in range(min(self.longest, n)):  # h: codes of the m + 1 characters from each place
+                h = (h[:, : n - m] + chars[:, m:] + np.uint64(1)) * BASE
+                k = self.ids(h)
+                found.append(np.where(k == self.none, self.unknown, k) if m == 0 else k)
+            a = np.zeros((n + 1, len(members), self.p.shape[1]))
+            a[0] = 1
+            for end in range(1, n + 1):
+                for m in range(min(self.longest, end)):
+                    k = found[m][:, end - m - 1]
+                    if m == 0:
+                        a[end] += a[end - 1] * self.p[k]
+                    elif len(some := np.flatnonzero(k != self.none)):
+                        a[end, some] += a[end - m - 1, some] * self.p[k[some]]
+            add, at = np.log(np.maximum(a[n], 1e-300)), [parts[k][0] for k in members]
+            if n < CHUNK:  # at most one part of a word
+                out[at] += add
+            else:
+                np.add.at(out, at, add)
+        return out
+
+
 def predict(docs: DataFrame, model: dict[str, list[float]], text_col: str = "text", pieces: list[str] | None = None) -> DataFrame:
     """docs' columns, lang_pred and score: the best language's share of the sum over languages."""
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
@@ -139,42 +212,29 @@ def predict(docs: DataFrame, model: dict[str, list[float]], text_col: str = "tex
     sent = docs.sparkSession.sparkContext.broadcast((pieces or public_pieces(), [model[k] for k in langs]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, tables = sent.value
-        lattice, cache, rows = Lattice(vocabulary), {}, np.zeros((1 << 12, len(langs)))
-
-        def add(word: bytes) -> np.ndarray:
-            total = np.zeros(len(langs))
-            for x in chunks(word.decode()):
-                arcs = lattice(x)
-                total += [math.log(max(forward(arcs, len(x), p)[len(x)], 1e-300)) for p in tables]
-            return total
-
-        for batch in batches:
+        scorer, cache, figures = Scorer(*sent.value) if langs else None, {}, np.zeros((0, len(langs)))
+        for batch in slices(batches, ROWS):
+            texts = ((t.as_py() or b"").decode(errors="replace").lower() for t in batch.column(batch.schema.get_field_index("__t")))
+            texts = [t.encode(errors="replace").split() if langs and LETTER.search(t) else None for t in texts]
+            if len(cache) > CACHED_WORDS:
+                cache, figures = {}, figures[:0]
+            new = {w for t in texts if t for w in t if w not in cache}
+            if new:
+                short = sorted(w for w in new if len(w) <= CACHED_CHARS)
+                long = sorted(w for w in new if len(w) > CACHED_CHARS)
+                cache.update(zip(short, range(len(cache), len(cache) + len(short)), strict=True))
+                figures = np.concatenate([figures, scorer([w.decode() for w in short])])
+                extra = dict(zip(long, scorer([w.decode() for w in long]), strict=True)) if long else {}
             best, shares = [], []
-            for text in batch.column(batch.schema.get_field_index("__t")):
-                raw = text.as_py()
-                lower = (raw or b"").decode(errors="replace").lower()
-                if not langs or not LETTER.search(lower):
+            for t in texts:
+                if t is None:
                     best.append("und")
                     shares.append(0.0)
                     continue
-                total, index = np.zeros(len(langs)), []
-                words = lower.encode(errors="replace").split()
-                if len(cache) > CACHED_WORDS:
-                    cache.clear()
-                for w in words:
-                    k = cache.get(w)
-                    if k is None:
-                        figures = add(w)
-                        if len(w) > CACHED_CHARS:
-                            total += figures
-                            continue
-                        k = cache[w] = len(cache)
-                        if k >= len(rows):
-                            rows = np.concatenate([rows, np.zeros_like(rows)])
-                        rows[k] = figures
-                    index.append(k)
-                total += rows[index].sum(0)
+                total = figures[[cache[w] for w in t if w in cache]].sum(0)
+                for w in t:
+                    if len(w) > CACHED_CHARS:
+                        total = total + extra[w]
                 odds = np.exp(total - total.max())
                 best.append(langs[int(odds.argmax())])
                 shares.append(float(odds.max() / odds.sum()))
@@ -182,7 +242,7 @@ def predict(docs: DataFrame, model: dict[str, list[float]], text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*columns, pa.array(best, pa.string()), pa.array(shares, pa.float64())], [*(k for k in batch.schema.names if k != "__t"), "lang_pred", "score"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in keep) + "lang_pred string, score double"
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("binary").alias("__t")).mapInArrow(score, schema)
+    return map_arrow(docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("binary").alias("__t")), score, schema)
 
 
 def held_out(id_col: str = "doc_id"):

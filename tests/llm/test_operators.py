@@ -421,6 +421,14 @@ def test_forward_sums_all_segmentations():
 
     for word in ("aba", "abab", "acb", "bbbaabab", "z"):
         assert abs(language_id.forward(lattice(word), len(word), p)[-1] - every(word)) < 1e-12
+    import math
+
+    texts = ["aba", "abab", "acb", "z", "é\U0001f600a", "a" * 90, "ab" * 30 + "c"]
+    got = language_id.Scorer(pieces, [p, p[::-1]])(texts)
+    for q, column in ((p, 0), (p[::-1], 1)):
+        for word, x in zip(texts, got[:, column], strict=True):
+            want = sum(math.log(language_id.forward(lattice(c), len(c), q)[-1]) for c in language_id.chunks(word))
+            assert abs(x - want) < 1e-9
     model = language_id.fit({"x": {"abab": 5}, "y": {"bb": 5}}, pieces)
     assert abs(sum(model["x"][:-1]) - 1) < 1e-9 and model["x"][1] > model["y"][1]
 
