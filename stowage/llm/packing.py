@@ -13,7 +13,9 @@ empty result; other columns are not looked at.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from functools import cache
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.util import materialise, ranked
+from stowage.llm.util import map_arrow, ranked, slices
+from stowage.session import materialise
 
-#: Words that a worker keeps with their ids; longer ones than CACHED_BYTES are not kept.
+#: Words that a worker keeps with their ids, in each of two generations; longer ones than CACHED_BYTES are not kept.
 CACHED_WORDS, CACHED_BYTES = 300_000, 64
+#: Words that lower-casing, composing and splitting leave as one: they go to the tokenizer's model itself.
+SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 
 
@@ -34,34 +39,75 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, int]:
+    """Bytes as byte-level models spell them: printable Latin-1 as it is, the others from U+0100 on in their order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
 class WordIds:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and never joins across it, so that the ids of a text are those of its words
-    one after another, and each distinct word is encoded once.
+    A tokenizer that drops white space and never joins across it gives a text the ids of its words one after
+    another, so that each distinct word is encoded once. Whether it does is tried out on a probe; another tokenizer
+    gets whole texts.
     """
 
+    PROBE = "The, under  Émigré's\n naïve straße... word, 12 <b>x</b>\tü!? don't"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.letters = Tokenizer.from_file(path), byte_letters()
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.by_word = True
+        self.by_word = self(self.PROBE.encode()) == self.whole(self.PROBE)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def word(self, word: bytes) -> bytes:
+        text = word.decode()
+        stem = text.rstrip(".,;:!?")
+        if SIMPLE.fullmatch(stem):
+            spelt = stem.lower()
+            if spelt != text:  # a capital, or stops, which are a piece of their own: known by its parts
+                return self.kept(spelt.encode()) + (self.kept(text[len(stem) :].encode()) if len(stem) < len(text) else b"")
+            if not spelt.isascii():
+                spelt = spelt.encode().decode("latin-1").translate(self.letters)
+            return np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], "<u4").tobytes()
+        return self.whole(text)
+
+    def kept(self, word: bytes) -> bytes:
+        ids = self.young.get(word) or self.old.get(word)
+        if ids is None:
+            ids = self.word(word)
+        if len(word) <= CACHED_BYTES:
+            self.young[word] = ids
+        return ids
 
     def __call__(self, text: bytes) -> bytes:
-        words, cache = text.split(), self.cache  # bytes.split() splits at 09 to 0D and 20 alone
-        missing = list({w for w in words if w not in cache})
-        kept = cache
-        if missing:
-            if len(cache) > CACHED_WORDS:
-                cache.clear()
-                missing = list(set(words))
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-            long = {}
-            for w, e in zip(missing, found, strict=True):
-                (cache if len(w) <= CACHED_BYTES else long)[w] = np.array(e.ids, "<u4").tobytes()
-            if long:
-                kept = {w: cache[w] if w in cache else long[w] for w in set(words)}
-        return b"".join(map(kept.__getitem__, words))
+        if not self.by_word:
+            return self.whole(text.decode())
+        words = text.split()  # bytes.split() splits at 09 to 0D and 20 alone
+        different, long = set(words), {}
+        if len(self.young) > CACHED_WORDS:
+            self.young, self.old = {}, self.young
+        for w in different.difference(self.young):
+            ids = self.kept(w)
+            if len(w) > CACHED_BYTES:
+                long[w] = ids
+        ids = {w: self.young[w] if w in self.young else long[w] for w in different} if long else self.young
+        return b"".join(map(ids.__getitem__, words))
+
+
+@cache
+def encoder(path: str) -> WordIds:
+    """One for each worker process, which keeps its words from task to task."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, max_tokens: int, end_id: int, with_ids: bool) -> DataFrame:
@@ -71,8 +117,8 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, max_toke
     types = [pa.int64()] * 5 + [pa.binary()] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, width = WordIds(tokenizer), int(end_id).to_bytes(4, "little"), 4 * max_tokens
-        for batch in batches:
+        encode, end, width = encoder(tokenizer), int(end_id).to_bytes(4, "little"), 4 * max_tokens
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encode(text.as_py() or b"") + end
@@ -81,7 +127,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, max_toke
                     rows.append((doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, part)[: len(names)])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t")).mapInArrow(cut, schema)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t")), cut, schema)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -146,7 +192,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = [c for c in cut.columns]
     rows = rows.select(*names, "rank")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return rows.mapInArrow(place, schema)
+    return map_arrow(rows, place, schema)
 
 
 def write_sequences(packed: DataFrame, path: str) -> None:
