@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from stowage import functions as fn
 from stowage import plans, sources
 from stowage.operators import aggregates, joins, marking, windows
+from stowage.session import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Objects of this size and more count as loose, in place of a limit that no document reaches.
@@ -65,7 +66,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
-    return out.distinct()
+    return materialise(out.distinct())  # each round of a mark reads it
 
 
 def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
