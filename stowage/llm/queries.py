@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.llm import chat_format, decontamination, jaccard, language_id, packing, quality_classifier, quality_rules, secret_scan, sharding, url_filter
+from stowage.llm.oracles import ORACLES
 
 SHARDS = 16
 #: Fixed values of the url query: verdict, host, path.
@@ -84,28 +85,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
-OP7_SQL = r"""
-WITH split AS (
-  SELECT page_id,
-         CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
-  FROM pages
-), parts AS (
-  SELECT page_id,
-         translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path
-  FROM split
-), rules(verdict, rule_host, rule_path) AS (
-  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
-), fits AS (
-  SELECT page_id, host, path, rule_host || rule_path AS rule, verdict,
-         row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule_host || rule_path) DESC NULLS LAST) AS place
-  FROM parts LEFT JOIN rules
-    ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path)
-)
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    """Checksums, models, sketches and tokenizers have no SQL; the other queries are tested against brute force."""
-    return {"op7_url_filters": OP7_SQL}
+    """Seeded hashes, checksums, models and tokenizers have no SQL; those queries are tested against brute force."""
+    return dict(ORACLES)
