@@ -34,7 +34,13 @@ CACHED_WORDS, CACHED_CHARS = 150_000, 48
 #: Rows of a batch that are worked on together.
 ROWS = 1024
 BASE = np.uint64(0x9E3779B97F4A7C15)
-LETTER = re.compile(r"[^\W\d_]")
+WORDLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is a letter; numbers such as fractions and superscripts are none."""
+    first = WORDLIKE.search(text)
+    return first is not None and (first.group().isalpha() or any(map(str.isalpha, text)))
 
 
 def public_pieces(path: str | None = None, longest: int = 8) -> list[str]:
@@ -215,7 +221,7 @@ def predict(docs: DataFrame, model: dict[str, list[float]], text_col: str = "tex
         scorer, cache, figures = Scorer(*sent.value) if langs else None, {}, np.zeros((0, len(langs)))
         for batch in slices(batches, ROWS):
             texts = ((t.as_py() or b"").decode(errors="replace").lower() for t in batch.column(batch.schema.get_field_index("__t")))
-            texts = [t.encode(errors="replace").split() if langs and LETTER.search(t) else None for t in texts]
+            texts = [t.encode(errors="replace").split() if langs and has_letter(t) else None for t in texts]
             if len(cache) > CACHED_WORDS:
                 cache, figures = {}, figures[:0]
             new = {w for t in texts if t for w in t if w not in cache}
@@ -266,6 +272,9 @@ def keep_identified(docs: DataFrame, least: float = 0.5, fit_rows: int = 300) ->
     A null lang is filled with the prediction; all columns stay.
     """
     model = learn(docs.where(~held_out()), fit_rows=fit_rows)
-    found = predict(docs.withColumn("__copy", F.col("text")), model, text_col="__copy")
+    # numbers for names, as a column of the documents may be called like one of the prediction
+    plain = docs.toDF(*(f"__{i}" for i in range(len(docs.columns)))).withColumn("__copy", F.col(f"__{docs.columns.index('text')}"))
+    found = predict(plain, model, text_col="__copy")
     found = found.where((F.col("lang_pred") != "und") & (F.col("score") > least))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    lang = f"__{docs.columns.index('lang')}"
+    return found.withColumn(lang, F.coalesce(lang, "lang_pred")).drop("lang_pred", "score").toDF(*docs.columns)

@@ -182,15 +182,15 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, table = sent.value
         for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(k)).to_numpy() for k in ("length", "rank"))
+            length, rank = (batch.column(batch.schema.get_field_index(k)).to_numpy() for k in ("length", "__rank"))
             at = table[np.searchsorted(keys, length * shift + rank, "right") - 1] if len(length) else table[:0]
             turn = rank - at[:, 1]
-            columns = [c for k, c in zip(batch.schema.names, batch.columns, strict=True) if k != "rank"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(at[:, 3] + turn // np.maximum(at[:, 4], 1)), pa.array(at[:, 5] + length * (turn % np.maximum(at[:, 4], 1)))], [*(k for k in batch.schema.names if k != "rank"), "sequence_id", "offset"])
+            columns = [c for k, c in zip(batch.schema.names, batch.columns, strict=True) if k != "__rank"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(at[:, 3] + turn // np.maximum(at[:, 4], 1)), pa.array(at[:, 5] + length * (turn % np.maximum(at[:, 4], 1)))], [*(k for k in batch.schema.names if k != "__rank"), "sequence_id", "offset"])
 
-    rows = ranked(cut.withColumn("__g", F.col("length")), "__g", ["doc_id", "start", "ids_crc32"], rank_buckets).drop("__g", "group_rows")
+    rows = ranked(cut.withColumn("__g", F.col("length")), "__g", ["doc_id", "start", "ids_crc32"], rank_buckets).drop("__g", "__group_rows")
     names = [c for c in cut.columns]
-    rows = rows.select(*names, "rank")
+    rows = rows.select(*names, "__rank")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
     return map_arrow(rows, place, schema)
 

@@ -22,20 +22,20 @@ def interleave(rows: DataFrame, stratum: str = "source", order: tuple[str, ...]
 
     `order` names columns that tell rows apart; rows that agree in them are placed in any order. Give rows without
     their texts where these are not needed: rows are shuffled twice. Neither a hot stratum nor the final order
-    goes through one task: ranks and positions are counted in `rank_buckets` parts a stratum and
+    goes through one task: ranks and positions are counted in at least `rank_buckets` parts a stratum and
     `position_buckets` parts of the fractions, which are equally full by construction.
     """
     names = [c for c in rows.columns if c not in ("shard", "slot")]
     keyed = rows.select(*names, group_key(F.col(stratum)).alias("__s"))
     keyed = ranked(keyed, "__s", list(order), rank_buckets, seed)
-    fraction = (F.col("rank") + F.lit(0.5)) / F.col("group_rows")
+    fraction = (F.col("__rank") + F.lit(0.5)) / F.col("__group_rows")
     placed = keyed.withColumn("__f", fraction).withColumn("__p", F.least(F.floor(F.col("__f") * position_buckets), F.lit(position_buckets - 1)).cast("int"))
     placed = materialise(placed.select(*names, "__s", "__f", "__p"))
     # one row for each part: the only window without a key, over position_buckets rows at most
     starts = offsets(placed.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).withColumn("__one", F.lit(1)), ["__one"], "__p", "__n")
-    starts = starts.select("__p", "before", F.sum("__n").over(Window.partitionBy("__one")).alias("__rows"))
+    starts = starts.select("__p", "__before", F.sum("__n").over(Window.partitionBy("__one")).alias("__rows"))
     inside = F.row_number().over(Window.partitionBy("__p").orderBy("__f", "__s", *order)).cast("long") - 1
-    out = placed.withColumn("__i", inside).join(starts, "__p").withColumn("__at", F.col("before") + F.col("__i"))
+    out = placed.withColumn("__i", inside).join(starts, "__p").withColumn("__at", F.col("__before") + F.col("__i"))
     out = out.withColumn("shard", F.floor(F.col("__at") * shards / F.col("__rows")).cast("int"))
     # in whole numbers, as the division above rounds: the shard whose first row is the last not after this one
     first = lambda k: F.expr(f"(({k}) * __rows + {shards - 1}) div {shards}")

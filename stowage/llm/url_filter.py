@@ -57,9 +57,9 @@ def sweep(keys: list[str], rules: list[str]) -> list[int]:
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | Iterator[tuple[str, str, str]], url_col: str = "url", default: str = "allow", block_rules: int = 200_000) -> DataFrame:
-    """Add host, path, rule and verdict to pages. rules: (verdict, host, path prefix)."""
+    """Add host, path, rule and verdict to pages, in place of columns of these names. rules: (verdict, host, path prefix)."""
     base = with_host_and_path(pages, url_col)
-    names = base.columns
+    names = [c for c in base.columns if c not in ("rule", "verdict")]
     table: dict[tuple[str, str], str] = {}
     for verdict, host, path in rules:
         if table.get((host, path)) != "block":

@@ -40,26 +40,28 @@ def group_key(column):
 
 
 def offsets(counts: DataFrame, group: list[str], bucket: str, n: str) -> DataFrame:
-    """counts (group, bucket, n) with `before`: the sum of n over the group's smaller buckets."""
+    """counts (group, bucket, n) with `__before`: the sum of n over the group's smaller buckets."""
     w = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("before", F.coalesce(F.sum(n).over(w), F.lit(0).cast("long")))
+    return counts.withColumn("__before", F.coalesce(F.sum(n).over(w), F.lit(0).cast("long")))
 
 
 def ranked(df: DataFrame, group: str, order: list[str], buckets: int, seed: int = 0) -> DataFrame:
-    """Add `rank` (long, gapless from 0 in each group) and `group_rows`.
+    """Add `__rank` (long, gapless from 0 in each group) and `__group_rows`.
 
-    Rows are ordered by a seeded hash of `order`, so that a hot group is spread over `buckets` windows; the
-    windows' starts come from a table of counts with groups x buckets rows. Equal rows get the ranks of their
-    group in any order, which no result can tell apart. `group` must not be null.
+    Rows are ordered by a seeded hash of `order`. Its first bits deal a group to `buckets` windows, or as many as
+    there are shuffle partitions if these are more, so that a hot group spreads as far as the cluster does; ranks
+    don't depend on their number. The windows' starts come from counts, groups x buckets rows. Equal rows get the
+    ranks of their group in any order, which no result can tell apart. `group` must not be null.
     """
     hashed = F.xxhash64(F.lit(seed), *order)
-    df = df.withColumn("__h", hashed).withColumn("__b", F.pmod(F.col("__h"), F.lit(buckets)))
+    bits = (max(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) - 1).bit_length()
+    df = df.withColumn("__h", hashed).withColumn("__b", F.shiftright("__h", 64 - max(bits, 1)))
     counts = df.groupBy(group, "__b").agg(F.count(F.lit(1)).alias("__n"))
     starts = offsets(counts, [group], "__b", "__n")
-    starts = starts.withColumn("group_rows", F.sum("__n").over(Window.partitionBy(group))).drop("__n")
+    starts = starts.withColumn("__group_rows", F.sum("__n").over(Window.partitionBy(group))).drop("__n")
     inside = F.row_number().over(Window.partitionBy(group, "__b").orderBy("__h", *order)).cast("long") - 1
     df = df.withColumn("__i", inside).join(starts, [group, "__b"])
-    return df.withColumn("rank", F.col("before") + F.col("__i")).drop("__i", "__h", "__b", "before")
+    return df.withColumn("__rank", F.col("__before") + F.col("__i")).drop("__i", "__h", "__b", "__before")
 
 
 def with_prefix_sums(df: DataFrame, lengths: str, out: str, block: int = 256) -> DataFrame:

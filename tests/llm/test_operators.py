@@ -74,12 +74,16 @@ def test_prefix_sums_and_ranks(spark):
     rows = spark.createDataFrame([("h" if i % 3 else "c", i // 2) for i in range(999)], "g string, i long")
     seen = defaultdict(list)
     for r in ranked(rows, "g", ["i"], 8).collect():
-        seen[r["g"], r["group_rows"]].append(r["rank"])
+        seen[r["g"], r["__group_rows"]].append(r["__rank"])
     assert {k: sorted(v) for k, v in seen.items()} == {("h", 666): list(range(666)), ("c", 333): list(range(333))}
+    unique = rows.distinct()
+    few, many = (sorted(map(tuple, ranked(unique, "g", ["i"], n).select("g", "i", "__rank").collect())) for n in (2, 500))
+    assert few == many and len(few) == unique.count()
 
 
 def test_sharding(docs, none):
-    df = docs.withColumn("slot", F.lit("clash"))
+    df = docs.withColumn("slot", F.lit("clash")).withColumn("rank", F.lit("own"))
+    assert {r["rank"] for r in sharding.interleave(df.select("doc_id", "source", "rank")).collect()} == {"own"}
     out = sharding.interleave(df.select("doc_id", "source", "slot"), shards=16).toPandas()
     assert len(out) == docs.count()
     sizes = out.groupby("shard").size()
@@ -329,6 +333,8 @@ def test_url_filters(spark):
         out = url_filter.judge(df.select("page_id", "url"), rules, block_rules=size).collect()
         assert Counter(tuple(x)[:1] + tuple(x)[2:] for x in out) == Counter((i, *plain_verdict(u, unique)) for i, u in [*enumerate(urls), (3, urls[12])])
     assert url_filter.judge(df.select("page_id", "url").limit(0), many).count() == 0
+    clash = url_filter.judge(df, queries.URL_RULES)  # a column of that name is replaced
+    assert clash.columns == ["page_id", "url", "host", "path", "rule", "verdict"] and {r["verdict"] for r in clash.collect()} == {"allow", "block"}
 
 
 def plain_components(rows, n, percent):
@@ -450,6 +456,8 @@ def test_language_id(spark, odd, none):
     assert {r["lang_pred"] for r in language_id.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     kept = language_id.keep_identified(odd)
     assert kept.columns == odd.columns and kept.where("lang is null").count() == 0
+    assert {r["score"] for r in kept.collect()} == {"z"}  # the documents' own column, not the prediction's
+    assert language_id.has_letter("½ 1²a") and not language_id.has_letter("½ 1² Ⅷ") and not language_id.has_letter("")
 
 
 def test_packing(docs, none):
