@@ -5,16 +5,21 @@ layout. Each is a logistic model. Over `rounds` rounds each view labels the unla
 in the proportions of the labels, and hands them to the other. Both are then calibrated on labelled rows that
 were not fitted, and a logistic combination of the calibrated views scores all documents.
 
-Fitted on bounded samples: `label_rows` labelled and `pool_rows` unlabelled documents, chosen by a hash of the id;
-the driver holds their features alone. All documents are scored whole, in one pass without a shuffle.
+Labels come from a bounded sample: `label_rows` labelled documents, chosen by a hash of the id; the driver holds
+their features alone. All other documents are the pool that the views exchange, however many there are: their
+features are written once, a pass counts logits for the bounds of each round, and each step of Newton's method sums
+gradients and Hessians in a pass. Pseudo-labels together weigh no more than the labels that are fitted, so that a
+large pool does not drown them. All documents are scored whole, in one pass without a shuffle.
 
 Null texts are empty; null source and lang are values of their own; of several labels of one id the mean counts,
-rounded up. Without labels of both kinds every score is 0.5. Repeated rows are scored each.
+rounded up. Without labels of both kinds every score is 0.5. Repeated rows, and rows without an id, are in the pool
+and scored each.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,9 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.util import map_arrow, slices
+from stowage.session import materialise
 
 SOURCES, LANGS = 64, 16
 TEXT_WIDTH, META_WIDTH = 256 + 8, SOURCES + LANGS + 6
+#: Logits of the pool are ranked in steps of 1 / STEPS; a view is sure of a document from SURE steps on (0.9).
+STEPS, SURE = 256, 563
+#: From so many partial sums on, executors add them up before the driver does.
+PARTIALS = 256
 
 
 def text_view(text: bytes) -> np.ndarray:
@@ -56,15 +66,26 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def derivatives(x: np.ndarray, y: np.ndarray, w: np.ndarray, by: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hessian and gradient of the rows, each with its weight `by`, at weights w, the last a bias."""
+    x = np.column_stack([x, np.ones(len(x))]).astype("float64")
+    by = np.ones(len(x)) if by is None else by
+    p = sigmoid(x @ w)
+    return (x * (by * (p * (1 - p) + 1e-6))[:, None]).T @ x, x.T @ (by * (y - p))
+
+
+def newton(w: np.ndarray, hessian: np.ndarray, gradient: np.ndarray, n: float, ridge: float = 1e-3) -> np.ndarray:
+    """Step from w with the sums over rows that weigh n together."""
+    penalty = np.full(len(w), ridge * n)
+    penalty[-1] = 1e-6 * n
+    return np.linalg.solve(hessian + np.diag(penalty), gradient - penalty * w)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 12) -> np.ndarray:
     """Weights, the last a bias, by Newton's method; both classes weigh as they are."""
-    x = np.column_stack([x, np.ones(len(x))]).astype("float64")
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge * len(x))
-    penalty[-1] = 1e-6 * len(x)
+    w = np.zeros(x.shape[1] + 1)
     for _ in range(steps):
-        p = sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        step = newton(w, *derivatives(x, y, w), len(x), ridge)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -90,25 +111,133 @@ class Model:
         return sigmoid(logit(self.joint, np.clip(views, -15, 15)))
 
 
-def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = 3, share: float = 0.1) -> Model:
-    """fold: True for labelled rows that calibrate. Each round a view passes on `share` of the pool."""
-    fit, views, pools = ~fold, (text, meta), (pool_text, pool_meta)
+@dataclass
+class Bounds:
+    """What a view is sure of: bins of its logits above `high` and below `low`, and a share of those two bins."""
+
+    high: int
+    high_share: float
+    low: int
+    low_share: float
+    n: float
+
+    @staticmethod
+    def of(bins: np.ndarray, counts: np.ndarray, share: float, good: float) -> Bounds:
+        """The surest `share` of rows counted by bins, in rising order; `good` of them from the top."""
+
+        def outer(order: np.ndarray, most: int) -> tuple[int, float, float]:
+            n = np.cumsum(counts[order])
+            if not len(n) or n[-1] <= most:
+                return (int(bins[order[-1]]), 1.0, float(n[-1])) if len(n) else (0, 0.0, 0.0)
+            k = int(np.searchsorted(n, most))  # rows of one bin are alike: each of the last weighs a part
+            return int(bins[order[k]]), float(most - (n[k] - counts[order[k]])) / float(counts[order[k]]), float(most)
+
+        n = max(1, int(share * counts.sum()))
+        high, high_share, above = outer(np.flatnonzero(bins >= SURE)[::-1], max(1, int(n * good)))
+        low, low_share, below = outer(np.flatnonzero(bins < -SURE), max(1, int(n * (1 - good))))
+        return Bounds(high if above else 1 << 40, high_share, low if below else -(1 << 40), low_share, above + below)
+
+    def weights(self, bins: np.ndarray) -> np.ndarray:
+        return (bins > self.high) + (bins == self.high) * self.high_share + (bins < self.low) + (bins == self.low) * self.low_share
+
+
+def binned(logits: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(logits, -128, 128) * STEPS).astype("int64")
+
+
+class Pool:
+    """Documents without labels: a table of x and m, which stays with the executors."""
+
+    def __init__(self, table: DataFrame):
+        # passes are short: a few tasks a core take all rows, however many files these are in
+        self.parts = min(table.rdd.getNumPartitions(), 4 * table.sparkSession.sparkContext.defaultParallelism)
+        self.table = table.select("x", "m").coalesce(max(self.parts, 1))
+
+    def counts(self, weights: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Bins of the logits of each view, in rising order, and their rows."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = [Counter() for _ in weights]
+            for views in viewed(batches):
+                for c, w, v in zip(total, weights, views, strict=True):
+                    c.update(dict(zip(*(a.tolist() for a in np.unique(binned(logit(w, v)), return_counts=True)), strict=True)))
+            rows = [(k, b, n) for k, c in enumerate(total) for b, n in c.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["v", "b", "n"])
+
+        rows = map_arrow(self.table, count, "v long, b long, n long").groupBy("v", "b").agg(F.sum("n").alias("n")).collect()
+        found = np.array(sorted(map(tuple, rows)), "int64").reshape(-1, 3)
+        return [(part[:, 1], part[:, 2]) for k in range(len(weights)) for part in [found[found[:, 0] == k]]]
+
+    def sums(self, fixed: list[np.ndarray], bounds: list[Bounds], now: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Hessian and gradient of each view at weights `now`, over what the other is sure of by weights `fixed`."""
+        sides = [len(w) for w in now]
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = [[np.zeros((n, n)), np.zeros(n)] for n in sides]
+            for views in viewed(batches):
+                for k in (0, 1):
+                    bins = binned(logit(fixed[1 - k], views[1 - k]))
+                    by = bounds[1 - k].weights(bins)
+                    some = by > 0
+                    if some.any():
+                        hessian, gradient = derivatives(views[k][some], (bins[some] > 0) * 1.0, now[k], by[some])
+                        total[k][0] += hessian
+                        total[k][1] += gradient
+            yield packed(total)
+
+        def packed(total: list[list[np.ndarray]]) -> pa.RecordBatch:
+            # a Hessian is the same on both sides of its diagonal
+            flat = np.concatenate([a for h, g in total for a in (h[np.triu_indices(len(g))], g)])
+            return pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], ["s"])
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = [np.frombuffer(s, "float64") for b in batches for s in b.column(0).to_pylist()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([np.sum(rows, axis=0).tobytes()], pa.binary())], ["s"])
+
+        parts = map_arrow(self.table, add, "s binary")
+        if self.parts > PARTIALS:
+            parts = map_arrow(parts.repartition(PARTIALS // 8), merge, "s binary")
+        flat = np.zeros(sum(n * (n + 1) // 2 + n for n in sides))
+        for r in parts.collect():
+            flat += np.frombuffer(bytes(r["s"]), "float64")
+        out, at = [], 0
+        for n in sides:
+            hessian, m = np.zeros((n, n)), n * (n + 1) // 2
+            hessian[np.triu_indices(n)] = flat[at : at + m]
+            out.append((hessian + np.triu(hessian, 1).T, flat[at + m : at + m + n]))
+            at += m + n
+        return out
+
+
+def viewed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Both views of batches of x and m."""
+    for batch in batches:
+        yield tuple(np.frombuffer(b"".join(c.to_pylist()), "float32").reshape(-1, n) for c, n in zip(batch.columns, (TEXT_WIDTH, META_WIDTH), strict=True))
+
+
+def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: np.ndarray, pool: Pool, rounds: int = 3, share: float = 0.1, steps: int = 12) -> Model:
+    """fold: True for labelled rows that calibrate. Each round a view passes on `share` of the pool more."""
+    fit, views = ~fold, (text, meta)
     if len(set(y[fit])) < 2 or len(set(y[fold])) < 2:
         return Model()
-    got = [(np.zeros(0, int), np.zeros(0)) for _ in views]  # pseudo-labels: rows of the pool, values
-    for turn in range(rounds + 1):
-        weights = [logistic(np.concatenate([v[fit], p[g[0]]]), np.concatenate([y[fit], g[1]])) for v, p, g in zip(views, pools, got, strict=True)]
-        if turn == rounds or not len(pool_text):
+    weights, n = [logistic(v[fit], y[fit]) for v in views], int(fit.sum())
+    for turn in range(rounds):
+        counts = pool.counts(weights)
+        if not len(counts[0][0]):
             break
-        new = []
-        for k in (0, 1):  # what the other view is surest of; it passes on each class by its share of the labels
-            order = np.argsort(logit(weights[1 - k], pools[1 - k]), kind="stable")
-            n, good = max(1, int(share * (turn + 1) * len(order))), y[fit].mean()
-            high, low = order[len(order) - max(1, int(n * good)) :], order[: max(1, int(n * (1 - good)))]
-            sure = sigmoid(logit(weights[1 - k], pools[1 - k]))
-            high, low = high[sure[high] > 0.9], low[sure[low] < 0.1]
-            new.append((np.concatenate([high, low]), np.concatenate([np.ones(len(high)), np.zeros(len(low))])))
-        got = new
+        bounds = [Bounds.of(*c, share * (turn + 1), y[fit].mean()) for c in counts]
+        each = [min(1.0, n / max(b.n, 1.0)) for b in bounds[::-1]]  # weight of a pseudo-label that a view gets
+        fixed, weights = weights, [np.zeros(len(w)) for w in weights]  # from sure weights steps could go astray
+        for _ in range(steps):
+            moved = 0.0
+            for k, (hessian, gradient) in enumerate(pool.sums(fixed, bounds, weights)):
+                own = derivatives(views[k][fit], y[fit], weights[k])
+                step = newton(weights[k], own[0] + each[k] * hessian, own[1] + each[k] * gradient, n + each[k] * bounds[1 - k].n)
+                weights[k] += step
+                moved = max(moved, np.abs(step).max())
+            if moved < 1e-4:  # what is left is about its square
+                break
     held = np.column_stack([logit(w, v[fold]) for w, v in zip(weights, views, strict=True)])
     return Model(*weights, logistic(np.clip(held, -15, 15), y[fold], ridge=1e-4))
 
@@ -132,23 +261,20 @@ def gathered(rows: list, key: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(r[key]) for r in rows), "float32").reshape(-1, width)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", label_rows: int = 4000, pool_rows: int = 4000, rounds: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", label_rows: int = 4000, rounds: int = 3) -> Model:
     """Model from labels (doc_id, label_col: 0 or 1) and documents (doc_id, text, lang, source)."""
     order = F.xxhash64(F.lit(6), F.col("doc_id"))
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.round(F.avg(label_col)).cast("int").alias("y"))
     known = known.orderBy(order, "doc_id").limit(label_rows)
-    some = docs.select("doc_id").where(F.col("doc_id").isNotNull()).orderBy(order, "doc_id").limit(pool_rows)
-    # both samples are bounded by parameters, and so may be broadcast
-    chosen = known.unionByName(some.distinct().withColumn("y", F.lit(-1)), allowMissingColumns=True).groupBy("doc_id").agg(F.max("y").alias("y"))
     few = docs.select("doc_id", F.col("text").cast("binary").alias("text"), "source", "lang")
-    few = few.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text", "source", "lang")
-    one = features(few, ["doc_id", "y"]).groupBy("doc_id").agg(F.min(F.struct("y", "x", "m")).alias("s"))  # of repeated ids one row
-    rows = sorted(one.select("doc_id", "s.*").toLocalIterator(), key=lambda r: r["doc_id"])
-    labelled, pool = [r for r in rows if r["y"] >= 0], [r for r in rows if r["y"] < 0]
+    # the sample of labels is bounded by a parameter, and so may be broadcast
+    few = few.join(F.broadcast(known), "doc_id", "left").select("doc_id", "y", "text", "source", "lang")
+    table = materialise(features(few, ["doc_id", "y"]))
+    one = table.where(F.col("y").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("y", "x", "m")).alias("s"))  # of repeated ids one row
+    labelled = sorted(one.select("doc_id", "s.*").toLocalIterator(), key=lambda r: r["doc_id"])
     y = np.array([r["y"] for r in labelled], float)
     fold = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 4 == 0 for r in labelled], bool)
-    take = lambda rs: (gathered(rs, "x", TEXT_WIDTH), gathered(rs, "m", META_WIDTH))
-    return cotrain(*take(labelled), y, fold, *take(pool), rounds=rounds)
+    return cotrain(gathered(labelled, "x", TEXT_WIDTH), gathered(labelled, "m", META_WIDTH), y, fold, Pool(table.where(F.col("y").isNull())), rounds=rounds)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

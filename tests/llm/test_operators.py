@@ -310,6 +310,44 @@ def test_quality_classifier(spark, odd, real, none):
     assert real.count()
 
 
+def test_quality_classifier_exchanges_all_unlabelled(spark):
+    """Far more labels than are sampled, and a source that no sample of a few thousand documents holds."""
+    r = random.Random(10)
+    ids = [x["id"] for x in spark.range(6000).orderBy(F.xxhash64(F.lit(6), F.col("id")), "id").collect()]
+    prose = [" ".join("".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(30)) for _ in range(50)]
+    junk = [" ".join(["#12 $$"] * 20 + [str(r.random())]) for _ in range(50)]
+    rows = [(i, r.choice(prose if k % 2 else junk), "en", "rare" if k >= 5900 else f"s{k % 2}") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids[:5900])], "doc_id long, quality long")
+    model, alone = (quality_classifier.fit(docs, labels, rounds=n) for n in (2, 0))
+    at = zlib.crc32(repr("rare").encode()) % quality_classifier.SOURCES
+    assert alone.meta[at] == 0 and model.meta[at] != 0 and (model.text != alone.text).any()
+
+
+def test_quality_classifier_bounds_and_sums(spark, real):
+    """Passes over the pool against the same sums over all its rows at once."""
+    import numpy as np
+
+    q = quality_classifier
+    table = q.features(real.select("doc_id", F.col("text").cast("binary").alias("text"), "source", "lang"), ["doc_id"]).cache()
+    rows, g = table.collect(), np.random.default_rng(1)
+    views = [q.gathered(rows, "x", q.TEXT_WIDTH), q.gathered(rows, "m", q.META_WIDTH)]
+    fixed, now = ([g.normal(size=v.shape[1] + 1) * s for v in views] for s in (3, 0.1))
+    pool = q.Pool(table.repartition(5))
+    counts = pool.counts(fixed)
+    bins = [q.binned(q.logit(w, v)) for w, v in zip(fixed, views, strict=True)]
+    assert [dict(zip(*map(np.ndarray.tolist, c), strict=True)) for c in counts] == [dict(Counter(b.tolist())) for b in bins]
+    bounds = [q.Bounds.of(*c, 0.3, 0.6) for c in counts]
+    for b, x in zip(bounds, bins, strict=True):
+        n = int(0.3 * len(x))
+        by = b.weights(x)
+        assert abs(by[x >= q.SURE].sum() - min(int(n * 0.6), (x >= q.SURE).sum())) < 1e-9
+        assert abs(by[x < -q.SURE].sum() - min(int(n * 0.4), (x < -q.SURE).sum())) < 1e-9 and abs(by.sum() - b.n) < 1e-9
+    for k, (hessian, gradient) in enumerate(pool.sums(fixed, bounds, now)):
+        want = q.derivatives(views[k], (bins[1 - k] > 0) * 1.0, now[k], bounds[1 - k].weights(bins[1 - k]))
+        assert np.allclose(hessian, want[0]) and np.allclose(gradient, want[1])
+
+
 def plain_verdict(url, rules):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (m[1], m[2]) if m else ("", "")
