@@ -1,9 +1,10 @@
 """Benchmark decontamination: spaced seeds.
 
-Fixed masks choose positions of a window of words and ignore the rest, so that a hit survives substituted words
-at the ignored positions. Seeds of all benchmark items are hashed into a table; each document's windows are
-hashed by the same masks and looked up. Around each hit the item and the document are aligned, and the longest
-stretch with a share of equal words of `similarity` or more is verified word by word.
+Masks choose positions of a window of words and ignore the rest. They follow from the overlap that is asked for, so
+that each such overlap has a hit, wherever its substituted words are: e changes leave e + 1 runs of equal words, and
+the longest run has its share of them at least. Seeds of all benchmark items are hashed into a table; each document's
+windows are hashed by the same masks and looked up. Around each hit the item and the document are aligned, and the
+longest stretch with a share of equal words of `similarity` or more is verified word by word.
 
 The benchmark is sent to executors in blocks of about `block_words` words; all documents pass each block, so that
 neither side is shuffled and a larger benchmark costs more passes, not more memory.
@@ -14,6 +15,8 @@ equal words count as one, by the smallest item_id; repeated documents are report
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 
 from stowage.llm.util import map_arrow
 
-#: 1: the word counts, 0: it may differ. Items of fewer words than a mask use masks of their own length.
+#: 1: the word counts, 0: it may differ. These masks and masks_for() are those that the query's SQL looks up; they
+#: miss some overlaps, and the operator uses covering_masks().
 MASKS = ("11101100101", "11010011011", "10110101101")
 WORD = re.compile(r"[^\W_]+")
 
@@ -41,6 +45,22 @@ def masks_for(n: int) -> tuple[str, ...]:
     return ("1" * n, *("1" * i + "0" + "1" * (n - i - 1) for i in range(1, n - 1) if n >= 6))
 
 
+@functools.cache
+def covering_masks(n: int, similarity: float, least_words: int) -> tuple[str, ...]:
+    """Masks of which one hits each overlap of an item of n words: least_words, or all n if fewer, `similarity` equal.
+
+    An overlap begins and ends with equal words. Where all of its runs can only have r words each, two of them
+    around one change are a seed, and r + 1 words in a row are enough elsewhere.
+    """
+    runs = {}  # least longest run: whether it takes runs of just that length
+    for m in range(min(n, least_words), n + 1):
+        changed = math.floor((1 - similarity) * m + 1e-9)
+        r = max(1, -(-(m - changed) // (changed + 1)))
+        runs[r] = runs.get(r, True) and changed > 0 and m - changed == r * (changed + 1)
+    r = min(runs)
+    return ("1" * (r + 1), "1" * r + "0" + "1" * r) if runs[r] else ("1" * r,)
+
+
 def factors(mask: str) -> np.ndarray:
     """One odd 64-bit factor for each position that counts, the same in every run."""
     state = np.random.Generator(np.random.PCG64(int("1" + mask, 2))).integers(0, 1 << 63, len(mask), dtype="uint64")
@@ -85,7 +105,7 @@ class Index:
                 self.items.append((item_id, np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], "uint64")))
         self.table: dict[str, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for k, (_, ids) in enumerate(self.items):
-            for mask in masks_for(len(ids)):
+            for mask in covering_masks(len(ids), similarity, least_words):
                 for at, seed in enumerate(seeds(ids, mask, factors(mask)).tolist()):
                     self.table[mask][seed].append((k, at))
         self.table = {m: dict(t) for m, t in self.table.items()}
@@ -111,6 +131,8 @@ class Index:
             item = self.items[k][1]
             low, high = max(0, -shift), min(len(item), len(ids) - shift)
             equal = item[low:high] == ids[low + shift : high + shift]
+            if equal.sum() < self.similarity * min(len(item), self.least) - 1e-9:
+                continue
             start, end = longest_stretch(equal, self.similarity)
             if end - start >= min(len(item), self.least):
                 best[k] = max(best.get(k, (0, 0, 0)), (end - start, int(equal[start:end].sum()), -(low + shift + start)))

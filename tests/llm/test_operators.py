@@ -233,6 +233,37 @@ def test_decontamination(spark, odd, real, none):
     assert decontamination.leaks(none, benchmark).count() == 0 and decontamination.leaks(odd, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_finds_all_overlaps():
+    """All placements of changes in short overlaps, and random ones in longer, against all alignments."""
+    from itertools import combinations
+
+    import numpy as np
+
+    cases = [(n, c) for n in (5, 6, 8, 9, 10, 11, 12, 13, 14, 15) for e in range(n // 5 + 1) for c in combinations(range(1, n - 1), e)]
+    r = random.Random(11)
+    for _ in range(600):
+        n = r.randint(16, 60)
+        cases.append((n, tuple(sorted(r.sample(range(1, n - 1), n // 5)))))
+    index = {n: decontamination.Index([(n, tuple(f"w{k}" for k in range(n)))], 0.8, 12) for n, _ in cases}
+    for n, changed in cases:
+        words = [f"x{k}" if k in changed else f"w{k}" for k in range(n)]
+        assert index[n].find(" ".join(["a", *words, "z"])) == [(n, 1, n, n - len(changed))], (n, changed)
+    # few words, so that there are overlaps at many alignments
+    vocabulary = [f"v{k}" for k in range(6)]
+    for k in range(150):
+        items = [tuple(r.choices(vocabulary, k=r.randint(1, 24))) for _ in range(4)]
+        text = r.choices(vocabulary, k=40) + [w if r.random() < 0.85 else "x" for w in items[0]]
+        got = {i: n for i, _, n, _ in decontamination.Index(list(enumerate(items)), 0.8, 12).find(" ".join(text))}
+        want = {}
+        for i, item in enumerate(items):
+            for shift in range(-len(item), len(text)):
+                at = range(max(0, -shift), min(len(item), len(text) - shift))
+                start, end = decontamination.longest_stretch(np.array([item[j] == text[j + shift] for j in at], bool), 0.8)
+                if end - start >= min(len(item), 12) and items.index(item) == i:
+                    want[i] = max(want.get(i, 0), end - start)
+        assert got == want
+
+
 def test_longest_stretch():
     import numpy as np
 
