@@ -4,6 +4,10 @@ Base spans come from three patterns. Candidates are long tokens of letters and d
 over the corpus by distinct repositories and owners. A token that more than `most_owners` owners hold is a widely
 copied example; one that belongs to few is live-looking and becomes a span of kind `live`.
 
+A secret does not stop being one when its document is copied into another source. redact() therefore counts owners
+over distinct texts, and takes more than SECRET_OWNERS of them for an example; report() does so with by_text, and
+else counts the sources of all rows, as the query's SQL does.
+
 Everything is DataFrame expressions. Texts are read once and never shuffled for the scan; only hashes and places
 are. Distinct (hash, owner, repository) come before the counts, so that a token copied into a third of all
 documents is no hot group.
@@ -28,6 +32,8 @@ KINDS = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+#: Owners, over distinct texts, that a token may have and still be masked.
+SECRET_OWNERS = 7
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
@@ -69,20 +75,24 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in names), *(F.size(f"__{kind}").cast("long").alias(f"n_{kind}") for kind, *_ in KINDS), base.alias("base"), tokens.alias("tokens"), key.alias("__key"))
 
 
-def ownership(found: DataFrame, repository: Column, owner: Column, most_owners: int) -> DataFrame:
-    """hash, n_repositories, n_owners and live of each token in found (tokens)."""
-    each = found.select(repository.alias("r"), owner.alias("o"), F.explode("tokens.hash").alias("hash")).distinct()
+def ownership(found: DataFrame, repository: Column, owner: Column, most_owners: int, by_text: bool = False) -> DataFrame:
+    """hash, n_repositories, n_owners and live of each token in found (tokens, __key). by_text: equal texts have one owner."""
+    text = F.substring_index("__key", ":", -2)
+    each = found.select(repository.alias("r"), owner.alias("o"), text.alias("t"), F.explode("tokens.hash").alias("hash"))
+    if by_text:
+        each = each.groupBy("t", "hash").agg(F.min(F.struct("o", "r")).alias("s")).select("s.r", "s.o", "hash")
+    each = each.select("r", "o", "hash").distinct()
     by_owner = each.groupBy("hash", "o").agg(F.count(F.lit(1)).alias("n"))
     total = by_owner.groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
     return total.withColumn("live", F.col("n_owners") <= most_owners)
 
 
-def judged(docs: DataFrame, source_col: str = "source", lang_col: str = "lang", most_owners: int = 1) -> DataFrame:
+def judged(docs: DataFrame, source_col: str = "source", lang_col: str = "lang", most_owners: int = 1, by_text: bool = False) -> DataFrame:
     """scan()'s rows with verdicts: (start, end, live) of each token, by start. Owner: the source; repository: its part in one language."""
     found = materialise(scan(docs.select("doc_id", "text", source_col, lang_col)))
     some = found.where(F.size("tokens") > 0)
     owner = group_key(F.col(source_col))
-    table = ownership(some, F.concat_ws("\x00", owner, group_key(F.col(lang_col))), owner, most_owners)
+    table = ownership(some, F.concat_ws("\x00", owner, group_key(F.col(lang_col))), owner, most_owners, by_text)
     places = some.select("__key", F.explode("tokens").alias("t")).select("__key", "t.*").distinct()
     verdicts = places.join(table.select("hash", "live"), "hash").groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "live"))).alias("verdicts"))
     return found.drop("tokens").join(verdicts, "__key", "left").withColumn("verdicts", F.coalesce("verdicts", F.array().cast("array<struct<start:bigint,end:bigint,live:boolean>>")))
@@ -93,16 +103,16 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def report(docs: DataFrame, most_owners: int = 1) -> DataFrame:
+def report(docs: DataFrame, most_owners: int = 1, by_text: bool = False) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (base and live), n_live and n_example of each document."""
-    df = judged(docs, most_owners=most_owners)
+    df = judged(docs, most_owners=most_owners, by_text=by_text)
     live = F.transform(F.filter("verdicts", lambda v: v["live"]), lambda v: F.struct(v["start"], F.lit(len(KINDS)).alias("kind"), v["end"]))
     spans = F.sort_array(F.concat(F.col("base"), live))
     n_live = F.size(live).cast("long")
     return df.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(spans).alias("spans"), n_live.alias("n_live"), (F.size("verdicts") - n_live).cast("long").alias("n_example"))
 
 
-def redact(docs: DataFrame, most_owners: int = 1, mark: str = "<secret>") -> DataFrame:
+def redact(docs: DataFrame, most_owners: int = SECRET_OWNERS, mark: str = "<secret>") -> DataFrame:
     """docs with `mark` for each live-looking span: live tokens, and base spans that overlap no widely copied example.
 
     n_chars, if there is one, follows the text. Only documents in which a pattern occurs are joined with their spans.
@@ -112,7 +122,7 @@ def redact(docs: DataFrame, most_owners: int = 1, mark: str = "<secret>") -> Dat
     maybe = F.lit(False)
     for pattern in (*(k[1] for k in KINDS), TOKEN):
         maybe = maybe | text.rlike(pattern)
-    df = judged(docs.where(maybe), most_owners=most_owners)
+    df = judged(docs.where(maybe), most_owners=most_owners, by_text=True)
     example = lambda b: F.exists("verdicts", lambda v: ~v["live"] & (v["start"] < b["end"]) & (b["start"] < v["end"]))
     pair = lambda s: F.struct(s["start"], s["end"])
     marked = F.sort_array(F.concat(F.transform(F.filter("base", lambda b: ~example(b)), pair), F.transform(F.filter("verdicts", lambda v: v["live"]), pair)))
