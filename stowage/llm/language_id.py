@@ -43,7 +43,7 @@ def has_letter(text: str) -> bool:
     return first is not None and (first.group().isalpha() or any(map(str.isalpha, text)))
 
 
-def public_pieces(path: str | None = None, longest: int = 8) -> list[str]:
+def public_pieces(path: str | None = None) -> list[str]:
     """Pieces of a sentencepiece vocabulary, lower case, without marks of word starts; in order and once each."""
     import sentencepiece
 
@@ -53,7 +53,7 @@ def public_pieces(path: str | None = None, longest: int = 8) -> list[str]:
         path = public_tokenizers.path("piece_bpe_32k.model")
     p = sentencepiece.SentencePieceProcessor(model_file=path)
     plain = (p.id_to_piece(i).replace("▁", "").lower() for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i)))
-    return sorted({x for x in plain if x and len(x) <= longest})
+    return sorted({x for x in plain if x})
 
 
 class Lattice:

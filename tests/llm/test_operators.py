@@ -525,6 +525,15 @@ def test_forward_sums_all_segmentations():
     assert abs(sum(model["x"][:-1]) - 1) < 1e-9 and model["x"][1] > model["y"][1]
 
 
+def test_all_public_pieces_are_used():
+    import public_tokenizers
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = {p.id_to_piece(i).replace("▁", "").lower() for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i))} - {""}
+    assert language_id.public_pieces() == sorted(want) and max(map(len, want)) > 8
+
+
 def test_language_id(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language_id.identify(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
