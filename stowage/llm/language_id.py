@@ -4,7 +4,9 @@ The pieces are those of a fixed public vocabulary; each language has a probabili
 expectation maximisation over all segmentations of its words. A word's probability in a language is the sum over
 all ways to cut it into pieces (the forward algorithm), a text's the product over its words: pieces never join
 words, so that each distinct word is summed once and its figures are kept. New words of a batch are summed
-together, all words of one length and all languages in one step of the algorithm.
+together, all words of one length and all languages in one step of the algorithm. Longer words are summed whole too:
+sums are rescaled as they shrink, and only as many are kept as a piece is long, so that a text without a space in it
+takes memory for its characters alone.
 
 Learned from a bounded sample of labelled rows: about `fit_rows` documents a language, chosen by a hash of the
 id. All texts are scored whole. Null texts and texts without a letter get `und` and score 0; with nothing to
@@ -28,8 +30,12 @@ from stowage.llm.util import map_arrow, slices
 UNKNOWN = 1e-7
 #: Added to each piece's expected count.
 SMOOTHING = 0.05
-#: Words are cut every so many characters before they are segmented, so that products stay above the smallest float.
-CHUNK = 40
+#: Longest words whose products of probabilities surely stay above the smallest float.
+PLAIN = 32
+#: Sums under 1 / SCALE are multiplied by it.
+SCALE = 2.0**256
+#: Positions of longer words whose pieces are looked up at once.
+STRETCH = 4096
 CACHED_WORDS, CACHED_CHARS = 150_000, 48
 #: Rows of a batch that are worked on together.
 ROWS = 1024
@@ -74,36 +80,41 @@ class Lattice:
         return out
 
 
-def chunks(word: str) -> Iterator[str]:
-    return (word[i : i + CHUNK] for i in range(0, len(word), CHUNK))
-
-
-def forward(arcs: list[tuple[int, int, int]], n: int, p: list[float]) -> list[float]:
-    """a[i]: the sum over all segmentations of the first i characters. p's last entry is that of an unknown character."""
-    a = [1.0] + [0.0] * n
+def forward(arcs: list[tuple[int, int, int]], n: int, p: list[float]) -> tuple[list[float], list[int]]:
+    """a and s: a[i] / SCALE ** s[i] is the sum over all segmentations of the first i characters; p's last entry is that of an unknown one."""
+    a, s = [1.0] + [0.0] * n, [0] * (n + 1)
+    if n <= PLAIN:
+        for start, end, k in arcs:
+            a[end] += a[start] * p[k]
+        return a, s
+    at = 0
     for start, end, k in arcs:
-        a[end] += a[start] * p[k]
-    return a
+        if end != at:
+            if a[at] < 1 / SCALE:
+                a[at], s[at] = a[at] * SCALE, s[at] + 1
+            at, s[end] = end, s[at]
+        a[end] += a[start] * p[k] * SCALE ** (s[end] - s[start])
+    return a, s
 
 
 def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = 2) -> dict[str, list[float]]:
     """Piece probabilities for each language from its word counts, by expectation maximisation; start: all pieces alike."""
     lattice, out = Lattice(pieces), {}
     for lang in sorted(counts):
-        arcs = [(lattice(x), len(x), n) for w, n in sorted(counts[lang].items()) for x in chunks(w)]
+        arcs = [(lattice(w), len(w), n) for w, n in sorted(counts[lang].items())]
         p = [1 / (len(pieces) + 1)] * len(pieces) + [UNKNOWN]
         for _ in range(rounds):
             expected = [SMOOTHING] * len(pieces)
             for ways, n, times in arcs:
-                a = forward(ways, n, p)
+                a, s = forward(ways, n, p)
                 b = [0.0] * n + [times / a[n]]
                 for start, end, k in reversed(ways):
+                    got = p[k] * b[end]
+                    if s[end] != s[start]:
+                        got *= SCALE ** (s[end] - s[start])
+                    b[start] += got
                     if k >= 0:
-                        got = p[k] * b[end]
                         expected[k] += a[start] * got
-                        b[start] += got
-                    else:
-                        b[start] += UNKNOWN * b[end]
             total = sum(expected)
             p = [x / total for x in expected] + [UNKNOWN]
         out[lang] = p
@@ -180,14 +191,15 @@ class Scorer:
         return out
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        """A row for each word; longer ones are cut every CHUNK characters."""
-        parts = [(i, x) for i, w in enumerate(words) for x in chunks(w)]
+        """A row for each word."""
         out = np.zeros((len(words), self.p.shape[1]))
         by: dict[int, list[int]] = defaultdict(list)
-        for k, (_, x) in enumerate(parts):
-            by[len(x)].append(k)
+        for k, w in enumerate(words):
+            by[len(w)].append(k)
         for n, members in by.items():
-            chars = np.frombuffer("".join(parts[k][1] for k in members).encode("utf-32-le", "surrogatepass"), "uint32").reshape(-1, n).astype("uint64")
+            if n > PLAIN:
+                continue
+            chars = np.frombuffer("".join(words[k] for k in members).encode("utf-32-le", "surrogatepass"), "uint32").reshape(-1, n).astype("uint64")
             h, found = np.zeros_like(chars), []
             for m in range(min(self.longest, n)):  # h: codes of the m + 1 characters from each place
                 h = (h[:, : n - m] + chars[:, m:] + np.uint64(1)) * BASE
@@ -202,11 +214,44 @@ class Scorer:
                         a[end] += a[end - 1] * self.p[k]
                     elif len(some := np.flatnonzero(k != self.none)):
                         a[end, some] += a[end - m - 1, some] * self.p[k[some]]
-            add, at = np.log(np.maximum(a[n], 1e-300)), [parts[k][0] for k in members]
-            if n < CHUNK:  # at most one part of a word
-                out[at] += add
-            else:
-                np.add.at(out, at, add)
+            out[members] = np.log(a[n])
+        long = sorted((n, k) for n, ks in by.items() if n > PLAIN for k in ks)
+        while long:  # words of like lengths together
+            members = [k for n, k in long if 4 * n <= 5 * long[0][0]]
+            out[members] = self.whole([words[k] for k in members])
+            long = long[len(members) :]
+        return out
+
+    def whole(self, words: list[str]) -> np.ndarray:
+        """Of words longer than PLAIN in rising order of length. Shorter ones are filled up, which comes after their own sums."""
+        sizes, langs, kept = [len(w) for w in words], self.p.shape[1], self.longest + 1
+        chars = np.zeros((len(words), sizes[-1]), "uint32")
+        for row, w in zip(chars, words, strict=True):
+            row[: len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), "uint32")
+        a, scaled, out = np.zeros((kept, len(words), langs)), np.zeros((len(words), langs)), np.zeros((len(words), langs))
+        a[0] = 1  # the sum at position i is a[i % kept] / SCALE ** scaled
+        for begin in range(0, sizes[-1], STRETCH):
+            low, stop = max(0, begin + 1 - self.longest), min(sizes[-1], begin + STRETCH)
+            part = chars[:, low:stop].astype("uint64")
+            h, found, there = np.zeros_like(part), [], []
+            for m in range(min(self.longest, stop - low)):
+                h = (h[:, : part.shape[1] - m] + part[:, m:] + np.uint64(1)) * BASE
+                k = self.ids(h)
+                found.append(np.where(k == self.none, self.unknown, k) if m == 0 else k)
+                there.append((k != self.none).any(0))
+            for end in range(begin + 1, stop + 1):
+                total = a[(end - 1) % kept] * self.p[found[0][:, end - 1 - low]]
+                for m in range(1, min(self.longest, end - low)):
+                    if there[m][end - m - 1 - low]:
+                        total += a[(end - m - 1) % kept] * self.p[found[m][:, end - m - 1 - low]]  # p of no piece is 0
+                a[end % kept] = total
+                if end % 8 == 0 and total.min() < 1 / SCALE:
+                    small = total < 1 / SCALE
+                    a *= np.where(small, SCALE, 1.0)
+                    scaled += small
+                if end >= sizes[0]:
+                    done = slice(*np.searchsorted(sizes, [end, end + 1]))
+                    out[done] = np.log(a[end % kept, done]) - scaled[done] * np.log(SCALE)
         return out
 
 

@@ -1,10 +1,12 @@
 """Each operator against a plain Python version, over whole small tables and rows made to be difficult."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -512,19 +514,80 @@ def test_forward_sums_all_segmentations():
         return total + (language_id.UNKNOWN * every(word[1:]) if word[0] not in pieces else 0)
 
     for word in ("aba", "abab", "acb", "bbbaabab", "z"):
-        assert abs(language_id.forward(lattice(word), len(word), p)[-1] - every(word)) < 1e-12
-    import math
-
-    texts = ["aba", "abab", "acb", "z", "é\U0001f600a", "a" * 90, "ab" * 30 + "c"]
+        assert abs(language_id.forward(lattice(word), len(word), p)[0][-1] - every(word)) < 1e-12
+    texts = ["aba", "abab", "acb", "z", "é\U0001f600a", "a" * 90, "ab" * 30 + "c", "x" * 33, "abab" * 16 + "a", "ab\U0001f600é" * 2000, "zab" * 41]
     got = language_id.Scorer(pieces, [p, p[::-1]])(texts)
     for q, column in ((p, 0), (p[::-1], 1)):
         for word, x in zip(texts, got[:, column], strict=True):
-            want = sum(math.log(language_id.forward(lattice(c), len(c), q)[-1]) for c in language_id.chunks(word))
-            assert abs(x - want) < 1e-9
+            assert abs(x - exact_log(word, pieces, q)) < 1e-9 * max(1, abs(x))
+            a, scaled = language_id.forward(lattice(word), len(word), q)
+            assert abs(math.log(a[-1]) - scaled[-1] * math.log(language_id.SCALE) - x) < 1e-9 * max(1, abs(x))
     model = language_id.fit({"x": {"abab": 5}, "y": {"bb": 5}}, pieces)
     assert abs(sum(model["x"][:-1]) - 1) < 1e-9 and model["x"][1] > model["y"][1]
 
 
+def exact_log(word, pieces, p):
+    """Logarithm of the sum over all segmentations, in fractions."""
+    by = {x: Fraction(p[k]) for k, x in enumerate(pieces)}
+    total = [Fraction(1)]
+    for end in range(1, len(word) + 1):
+        total.append(sum(total[start] * by.get(word[start:end], 0) for start in range(max(0, end - 20), end)))
+        if word[end - 1] not in by:
+            total[-1] += total[end - 1] * Fraction(p[-1])
+        cut = max(0, total[-1].numerator.bit_length() - 2000)  # figures enough
+        total[-1] = Fraction(total[-1].numerator >> cut, max(1, total[-1].denominator >> cut))
+    return math.log(total[-1].numerator) - math.log(total[-1].denominator)
+
+
+def test_long_compound_in_the_public_vocabulary():
+    pieces = language_id.public_pieces()
+    r = random.Random(2)
+    p = [r.random() for _ in pieces]
+    p = [x / sum(p) for x in p] + [language_id.UNKNOWN]
+    word = "donaudampfschifffahrtselektrizitätenhauptbetriebswerkbauunterbeamten"[:65]
+    assert len(word) == 65
+    assert abs(language_id.Scorer(pieces, [p])([word])[0, 0] - exact_log(word, pieces, p)) < 1e-9
+
+
+def segmentations(word, pieces):
+    if not word:
+        return [[]]
+    out = [[x, *rest] for x in pieces if word.startswith(x) for rest in segmentations(word[len(x) :], pieces)]
+    return out + ([[None, *rest] for rest in segmentations(word[1:], pieces)] if word[0] not in pieces else [])
+
+
+def test_language_model_and_prediction_against_all_segmentations(spark):
+    """Expectation maximisation and the score of a text, each segmentation counted on its own."""
+    pieces = ["a", "ab", "b", "ba", "bab", "c"]
+    counts = {"x": {"abab": 3, "cab": 2, "aé": 1}, "y": {"bba": 4, "ccb": 1, "baba": 2}}
+    want = {}
+    for lang, words in counts.items():
+        p = {x: 1 / (len(pieces) + 1) for x in pieces} | {None: language_id.UNKNOWN}
+        for _ in range(2):
+            expected = dict.fromkeys(pieces, language_id.SMOOTHING)
+            for w, n in words.items():
+                ways = [(math.prod(p[x] for x in s), s) for s in segmentations(w, pieces)]
+                for weight, s in ways:
+                    for x in s:
+                        if x is not None:
+                            expected[x] += n * weight / sum(v for v, _ in ways)
+            p = {x: v / sum(expected.values()) for x, v in expected.items()} | {None: language_id.UNKNOWN}
+        want[lang] = [p[x] for x in pieces] + [language_id.UNKNOWN]
+    model = language_id.fit(counts, pieces)
+    assert all(abs(a - b) < 1e-12 for k in counts for a, b in zip(model[k], want[k], strict=True))
+    long = language_id.fit({"x": {"abab" * 20: 1}}, pieces)["x"]  # as its own half words, where every cut falls on one
+    assert abs(sum(long[:-1]) - 1) < 1e-9 and min(long) > 0
+    texts = ["abab cab", "BBA ccb baba", "aé", "ab ba", "12", None]
+    rows = {r["i"]: (r["lang_pred"], r["score"]) for r in language_id.predict(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model, pieces=pieces).collect()}
+    for i, t in enumerate(texts):
+        if not t or t == "12":
+            assert rows[i] == ("und", 0.0)
+            continue
+        each = {k: math.prod(sum(math.prod(dict(zip([*pieces, None], want[k], strict=True))[x] for x in s) for s in segmentations(w, pieces)) for w in t.lower().split()) for k in want}
+        best = max(sorted(each), key=each.get)
+        assert rows[i][0] == best and abs(rows[i][1] - each[best] / sum(each.values())) < 1e-9
+
+
 def test_all_public_pieces_are_used():
     import public_tokenizers
     import sentencepiece
