@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.session import materialise
+from stowage.session import materialise, release
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -39,5 +39,6 @@ def connected(edges: DataFrame) -> DataFrame:
         sums = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(sums) == state or not sums[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        state = tuple(sums)
-        now = materialise(_small_star(_large_star(now)))
+        state, old = tuple(sums), now
+        now = materialise(_small_star(_large_star(old)))
+        release(old)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.components import connected
-from stowage.llm.util import map_arrow, slices
+from stowage.llm.util import slices
 from stowage.session import materialise
 
 CACHED_WORDS = 150_000
@@ -138,7 +138,7 @@ def set_keys(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                     rows += [(hi, keys(s, tile, k)) for tile, _, k, _ in tiles(len(s), percent)]
             yield table(rows, ["hi", "keys"], [pa.int64(), pa.list_(pa.int64())])
 
-    return map_arrow(docs, sketch, "hi long, keys array<bigint>")
+    return docs.mapInArrow(sketch, "hi long, keys array<bigint>")
 
 
 SKETCH = "doc_id long, n long, hi long, lo long, own boolean, tile int, d int, k int, keys array<bigint>, bits binary"
@@ -170,7 +170,7 @@ def sketches(docs: DataFrame, shingle: int, percent: int, shared: np.ndarray) ->
                         rows.append((doc_id, len(s), hi, lo, False, tile, d, k, found, bitmap(s, bits)))
             yield table(rows, names, types)
 
-    return map_arrow(docs, sketch, SKETCH)
+    return docs.mapInArrow(sketch, SKETCH)
 
 
 def possible(n1, n2, differ, percent: int):
@@ -203,10 +203,10 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shin
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    sets = materialise(map_arrow(few, hashed, "node long, s binary").dropDuplicates())
+    sets = materialise(few.mapInArrow(hashed, "node long, s binary").dropDuplicates())
     sets_a, sets_b = sets.select(F.col("node").alias("a"), F.col("s").alias("x")), sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
     joined = pairs.join(sets_a, "a").join(sets_b, "b").select("a", "b", "x", "y")
-    return materialise(map_arrow(joined, linked, "a long, b long").distinct())
+    return materialise(joined.mapInArrow(linked, "a long, b long").distinct())
 
 
 def hub_pairs(met: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -224,7 +224,7 @@ def hub_pairs(met: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
             good = possible(get["n1"].to_numpy(), get["n2"].to_numpy(), np.array(differ, "int64"), percent)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return map_arrow(near, bounded, "a long, b long").distinct()
+    return near.mapInArrow(bounded, "a long, b long").distinct()
 
 
 def tile_pairs(met: DataFrame, sizes: DataFrame, percent: int, block: int) -> DataFrame:
@@ -268,7 +268,7 @@ def tile_pairs(met: DataFrame, sizes: DataFrame, percent: int, block: int) -> Da
         out = compare(group) if group else []
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return map_arrow(df, sweep, "a long, b long").distinct()
+    return df.mapInArrow(sweep, "a long, b long").distinct()
 
 
 def shared_keys(sets: DataFrame) -> DataFrame:

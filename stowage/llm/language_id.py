@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.util import map_arrow, slices
+from stowage.llm.util import slices
 
 #: Probability of one character that is no piece, in any language.
 UNKNOWN = 1e-7
@@ -132,7 +132,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             rows = [(lang, w.decode(), n) for lang, c in seen.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
-    return map_arrow(texts, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_rows: int = 300, pieces: list[str] | None = None) -> dict[str, list[float]]:
@@ -293,7 +293,7 @@ def predict(docs: DataFrame, model: dict[str, list[float]], text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*columns, pa.array(best, pa.string()), pa.array(shares, pa.float64())], [*(k for k in batch.schema.names if k != "__t"), "lang_pred", "score"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in keep) + "lang_pred string, score double"
-    return map_arrow(docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("binary").alias("__t")), score, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("binary").alias("__t")).mapInArrow(score, schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from stowage.llm.decontamination import MASKS, masks_for
-
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: The leftmost matches of each kind and the tokens; a text is what lies between the matches and the matches in turn.
@@ -59,35 +57,25 @@ FROM docs LEFT JOIN sums USING (r)
 """
 
 
-def _mask_rows() -> str:
-    """(mask, words an item must have or null, places that count) of long items' masks and those of each short length."""
-    rows = [("NULL", m) for m in MASKS] + [(str(n), m) for n in range(1, len(MASKS[0])) for m in masks_for(n)]
-    return ", ".join(f"({k}, {n}, {len(m)}, [{', '.join(str(i) for i, bit in enumerate(m) if bit == '1')}])" for k, (n, m) in enumerate(rows))
-
-
-#: Masked windows of items and documents meet; of each alignment the longest stretch with 0.8 equal words counts.
-OP4_SQL = rf"""
-WITH masks(mask, item_words, width, places) AS (VALUES {_mask_rows()}),
-items AS (
-  SELECT row_number() OVER () AS k, item_id, w FROM (
-    SELECT min(item_id) AS item_id, w
-    FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark)
+#: Every alignment of a document and an item with enough equal words, however they lie; of each the longest stretch with 0.8 equal counts.
+OP4_SQL = r"""
+WITH items AS (
+  SELECT row_number() OVER () AS k, w, ids FROM (
+    SELECT w, list(DISTINCT coalesce(item_id::VARCHAR, '')) AS ids
+    FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark)
     WHERE len(w) > 0 GROUP BY w)
 ), docs AS (
-  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents
-), item_seeds AS (
-  SELECT k, mask, p, array_to_string(list_transform(places, lambda o: w[p + o + 1]), ' ') AS seed
-  FROM (SELECT k, mask, places, w, unnest(range(len(w) - width + 1)) AS p FROM items, masks
-        WHERE len(w) >= width AND (item_words = len(w) OR (item_words IS NULL AND len(w) >= {len(MASKS[0])})))
-), doc_seeds AS (
-  SELECT r, mask, p, array_to_string(list_transform(places, lambda o: w[p + o + 1]), ' ') AS seed
-  FROM (SELECT r, mask, places, w, unnest(range(len(w) - width + 1)) AS p FROM docs, masks
-        WHERE len(w) >= width AND mask IN (SELECT mask FROM item_seeds))
-), met AS (
-  SELECT DISTINCT r, k, d.p - i.p AS shift FROM doc_seeds d JOIN item_seeds i USING (mask, seed)
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents
+), item_words AS (
+  SELECT k, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM items
+), doc_words AS (
+  SELECT r, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS p FROM docs
+), aligned AS (
+  SELECT r, k, p - i AS shift FROM doc_words JOIN item_words USING (x)
+  GROUP BY r, k, n, p - i HAVING 10 * count(*) >= 8 * least(n, 12)
 ), places AS (
   SELECT r, k, shift, i.w AS iw, d.w AS dw, unnest(range(greatest(0, -shift), least(len(i.w), len(d.w) - shift))) AS i
-  FROM met JOIN items i USING (k) JOIN docs d USING (r)
+  FROM aligned JOIN items i USING (k) JOIN docs d USING (r)
 ), equal AS (
   SELECT r, k, shift, i, row_number() OVER (PARTITION BY r, k, shift ORDER BY i) AS n FROM places WHERE iw[i + 1] = dw[i + shift + 1]
 ), stretches AS (
@@ -96,11 +84,12 @@ items AS (
   WHERE a.i <= b.i AND 10 * (b.n - a.n + 1) >= 8 * (b.i - a.i + 1)
 ), longest AS (
   SELECT * FROM stretches QUALIFY row_number() OVER (PARTITION BY r, k, shift ORDER BY n_words DESC, first_word DESC) = 1
+), best AS (
+  SELECT doc_id, ids, first_word, n_words, n_equal FROM longest JOIN items USING (k) JOIN docs USING (r)
+  WHERE n_words >= least(len(items.w), 12)
+  QUALIFY row_number() OVER (PARTITION BY r, k ORDER BY n_words DESC, n_equal DESC, first_word) = 1
 )
-SELECT doc_id, item_id, first_word, n_words, n_equal
-FROM longest JOIN items USING (k) JOIN docs USING (r)
-WHERE n_words >= least(len(items.w), 12)
-QUALIFY row_number() OVER (PARTITION BY r, k ORDER BY n_words DESC, n_equal DESC, first_word) = 1
+SELECT doc_id, try_cast(item AS BIGINT) AS item_id, first_word, n_words, n_equal FROM (SELECT *, unnest(ids) AS item FROM best)
 """
 
 #: Windows are filled turn by turn; what each shows is its turns, the system turn and the history before it.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.util import map_arrow, ranked, slices
+from stowage.llm.util import ranked, slices
 from stowage.session import materialise
 
 #: Words that a worker keeps with their ids, in each of two generations; longer ones than CACHED_BYTES are not kept.
@@ -127,7 +127,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, max_toke
                     rows.append((doc_id, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, part)[: len(names)])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], names)
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t")), cut, schema)
+    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t")).mapInArrow(cut, schema)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -192,7 +192,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = [c for c in cut.columns]
     rows = rows.select(*names, "__rank")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return map_arrow(rows, place, schema)
+    return rows.mapInArrow(place, schema)
 
 
 def write_sequences(packed: DataFrame, path: str) -> None:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.util import map_arrow, slices
+from stowage.llm.util import slices
 from stowage.session import materialise
 
 SOURCES, LANGS = 64, 16
@@ -164,7 +164,7 @@ class Pool:
             rows = [(k, b, n) for k, c in enumerate(total) for b, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["v", "b", "n"])
 
-        rows = map_arrow(self.table, count, "v long, b long, n long").groupBy("v", "b").agg(F.sum("n").alias("n")).collect()
+        rows = self.table.mapInArrow(count, "v long, b long, n long").groupBy("v", "b").agg(F.sum("n").alias("n")).collect()
         found = np.array(sorted(map(tuple, rows)), "int64").reshape(-1, 3)
         return [(part[:, 1], part[:, 2]) for k in range(len(weights)) for part in [found[found[:, 0] == k]]]
 
@@ -195,9 +195,9 @@ class Pool:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([np.sum(rows, axis=0).tobytes()], pa.binary())], ["s"])
 
-        parts = map_arrow(self.table, add, "s binary")
+        parts = self.table.mapInArrow(add, "s binary")
         if self.parts > PARTIALS:
-            parts = map_arrow(parts.repartition(PARTIALS // 8), merge, "s binary")
+            parts = parts.repartition(PARTIALS // 8).mapInArrow(merge, "s binary")
         flat = np.zeros(sum(n * (n + 1) // 2 + n for n in sides))
         for r in parts.collect():
             flat += np.frombuffer(bytes(r["s"]), "float64")
@@ -254,7 +254,7 @@ def features(rows: DataFrame, extra: list[str]) -> DataFrame:
             m = pa.array([meta_view(t, s, g).tobytes() for t, s, g in zip(texts, get["source"].to_pylist(), get["lang"].to_pylist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(get[k] for k in extra), x, m], [*extra, "x", "m"])
 
-    return map_arrow(rows, view, schema)
+    return rows.mapInArrow(view, schema)
 
 
 def gathered(rows: list, key: str, width: int) -> np.ndarray:
@@ -291,4 +291,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array(p), pa.array(p >= threshold)], ["doc_id", "score", "kept"])
 
     few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "source", "lang")
-    return map_arrow(few, scored, "doc_id long, score double, kept boolean")
+    return few.mapInArrow(scored, "doc_id long, score double, kept boolean")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stowage.llm import chat_format, decontamination, jaccard, language_id, packing, quality_classifier, quality_rules, secret_scan, sharding, url_filter
 from stowage.llm.oracles import ORACLES
+from stowage.session import small_batches
 
 SHARDS = 16
 #: Fixed values of the url query: verdict, host, path.
@@ -81,8 +82,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def entered(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            small_batches(spark)
+            return query(spark, sf_dir)
+
+        return run
+
     found = (op1_sharding, op2_quality_rules, op3_secret_scans, op4_decontamination, op5_chat_format, op6_quality_classifier, op7_url_filters, op8_jaccard_join, op9_language_id, op10_packing, pipeline)
-    return {f.__name__: f for f in found}
+    return {f.__name__: entered(f) for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,18 +13,6 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def map_arrow(df: DataFrame, function, schema):
-    """df.mapInArrow with batches of 1024 rows at most: texts of any length stand in them, in the JVM and in Python.
-
-    Lowers the session's setting where it is higher; results do not depend on it.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= 1024:
-        conf.set(key, "1024")
-    return df.mapInArrow(function, schema)
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in parts of so many rows, so that what is made of them stays small."""
     return (b.slice(at, rows) for b in batches for at in range(0, max(b.num_rows, 1), rows))
@@ -78,3 +67,18 @@ def with_prefix_sums(df: DataFrame, lengths: str, out: str, block: int = 256) ->
     df = df.withColumn("__starts", F.transform("__sums", lambda x, b: F.aggregate(F.slice("__sums", F.lit(1), b), zero, add)))
     each = F.transform(lengths, lambda x, i: F.get("__starts", F.floor(i / block).cast("int")) + F.aggregate(F.slice(lengths, F.floor(i / block).cast("int") * block + 1, F.pmod(i, F.lit(block))), zero, add))
     return df.withColumn(out, each).drop("__sums", "__starts")
+
+
+def bitmap(keys: DataFrame, key: str, bits: int) -> np.ndarray:
+    """Bit key mod bits is set for each key (long) of keys; the driver gathers bits / 64 words at most."""
+    word = F.shiftright(F.pmod(key, F.lit(bits)), 6).cast("int")
+    words = keys.groupBy(word.alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({key}, {bits}) % 64 as int))")).alias("m")).toArrow()
+    out = np.zeros(bits // 64, "int64")
+    out[words.column("w").to_numpy()] = words.column("m").to_numpy()
+    return out.view("uint64")
+
+
+def has_bit(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether bitmap() set the bits of the keys; bits is a power of two."""
+    at = keys.view("uint64") & np.uint64(64 * len(words) - 1)
+    return (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
