@@ -34,26 +34,40 @@ WITH docs AS (
          sum(length(gap) + length(value)) OVER (PARTITION BY r, kind ORDER BY i)::BIGINT AS stop
   FROM matches
 ), spans AS (
-  SELECT r, kind, name, value, stop - length(value) AS start, stop FROM placed JOIN patterns USING (kind) WHERE length(counted) >= least
+  SELECT r, kind, name, value, counted, stop - length(value) AS start, stop FROM placed JOIN patterns USING (kind) WHERE length(counted) >= least
 ), tokens AS (
   SELECT r, start, stop, value FROM spans
   WHERE kind = 3 AND regexp_matches(value, '[0-9].*[0-9]') AND regexp_matches(value, '[A-Za-z].*[A-Za-z]')
+), candidates AS (
+  -- a value ends where its match ends
+  SELECT r, start, stop, value, bool_or(token) AS token FROM (
+    SELECT r, start, stop, value, true AS token FROM tokens
+    UNION ALL SELECT r, stop - length(counted), stop, substr(t, (stop - length(counted) + 1)::BIGINT, length(counted)), false FROM spans JOIN docs USING (r) WHERE kind < 3)
+  GROUP BY ALL
+), held AS (
+  -- rows of one text have one repository between them
+  SELECT t, value, min(coalesce('1' || source, '0') || chr(1) || coalesce('1' || lang, '0')) AS repository FROM candidates JOIN docs USING (r) GROUP BY ALL
 ), owners AS (
-  SELECT value, count(DISTINCT coalesce('1' || source, '0')) AS n_owners FROM tokens JOIN docs USING (r) GROUP BY value
+  SELECT value, count(DISTINCT split_part(repository, chr(1), 1)) AS n_owners, count(DISTINCT repository) AS n_repositories FROM held GROUP BY value
+), judged AS (
+  SELECT *, n_owners <= 7 OR n_repositories <= 9 AS live FROM candidates JOIN owners USING (value)
 ), marked AS (
-  SELECT r, kind, name, start, stop, NULL AS live FROM spans WHERE kind < 3
-  UNION ALL SELECT r, 3, 'live', start, stop, n_owners <= 1 FROM tokens JOIN owners USING (value)
+  SELECT r, kind, name, start, stop FROM spans WHERE kind < 3
+  UNION ALL SELECT r, 3, 'live', start, stop FROM judged WHERE token AND live
 ), sums AS (
   SELECT r,
          count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
          string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) FILTER (kind < 3) AS base,
-         string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) FILTER (kind < 3 OR live) AS spans,
-         count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example
+         string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) AS spans
   FROM marked GROUP BY r
+), verdicts AS (
+  SELECT r, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example,
+         string_agg(start || ':' || stop || ':' || n_owners || ':' || n_repositories, ',' ORDER BY start, stop) AS ownership
+  FROM judged GROUP BY r
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
-FROM docs LEFT JOIN sums USING (r)
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(ownership, '') AS ownership
+FROM docs LEFT JOIN sums USING (r) LEFT JOIN verdicts USING (r)
 """
 
 

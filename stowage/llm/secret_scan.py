@@ -1,16 +1,16 @@
-"""Secret scans: spans of credential patterns, and corpus-wide ownership frequency of long tokens.
+"""Secret scans: spans of credential patterns, and corpus-wide ownership frequency of what may be a secret.
 
-Base spans come from three patterns. Candidates are long tokens of letters and digits; the hash of each is counted
-over the corpus by distinct repositories and owners. A token that more than `most_owners` owners hold is a widely
-copied example; one that belongs to few is live-looking and becomes a span of kind `live`.
+Base spans come from three patterns. Candidates are the values of base spans and long tokens of letters and digits;
+the hash of each is counted over the corpus by distinct owners and repositories. A candidate that more than
+`most_owners` owners hold in more than `most_repositories` repositories is a widely copied example. All others
+belong to few and are live-looking; such tokens become spans of kind `live`.
 
-A secret does not stop being one when its document is copied into another source. redact() therefore counts owners
-over distinct texts, and takes more than SECRET_OWNERS of them for an example; report() does so with by_text, and
-else counts the sources of all rows, as the query's SQL does.
+A secret does not stop being one when its document is copied into another source: rows of equal text have one owner
+and repository between them, the first by name.
 
 Everything is DataFrame expressions. Texts are read once and never shuffled for the scan; only hashes and places
-are. Distinct (hash, owner, repository) come before the counts, so that a token copied into a third of all
-documents is no hot group.
+are. Distinct (text, hash) and (hash, owner, repository) come before the counts, so that a token copied into a third
+of all documents is no hot group.
 
 Null texts are empty; null repositories and owners are values like others; repeated rows get equal spans. Places
 are code points, ends exclusive.
@@ -32,13 +32,15 @@ KINDS = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
-#: Owners, over distinct texts, that a token may have and still be masked.
-SECRET_OWNERS = 7
-SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
+#: Owners and repositories, over distinct texts, that a candidate may have and still be a secret.
+SECRET_OWNERS, SECRET_REPOSITORIES = 7, 9
+SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
+PLACE = "array<struct<start:bigint,end:bigint,hash:string,token:boolean>>"
+VERDICT = "array<struct<start:bigint,end:bigint,token:boolean,live:boolean,owners:bigint,repositories:bigint>>"
 
 
-def _spans(df: DataFrame, out: str, pattern: str, group: int, least: int, kind: int, values: bool = False) -> DataFrame:
-    """Add `out`: spans (start, kind, end[, value]) of the leftmost non-overlapping matches in __t whose group is long enough.
+def _spans(df: DataFrame, out: str, pattern: str, group: int, least: int, kind: int) -> DataFrame:
+    """Add `out`: spans (start, kind, end, value) of the leftmost non-overlapping matches in __t whose group is long enough.
 
     A text is what lies between the matches and the matches in turn, so that lengths give the places.
     """
@@ -52,50 +54,48 @@ def _spans(df: DataFrame, out: str, pattern: str, group: int, least: int, kind:
     at, after = (lambda i: F.get("__before", i) + F.get("__gaps", i)), (lambda i: F.get("__before", i) + F.get("__both", i))
     span = lambda x, i: F.struct(at(i).alias("start"), F.lit(kind).alias("kind"), after(i).alias("end"), x.alias("value"))
     df = df.withColumn(out, F.filter(F.transform("__value", span), lambda s: F.length(s["value"]) >= least))
-    if not values:
-        df = df.withColumn(out, F.transform(out, lambda s: F.struct(s["start"], s["kind"], s["end"])))
-    nothing = F.array().cast(SPAN[:-2] + ",value:string>>" if values else SPAN)
-    return df.withColumn(out, F.coalesce(out, nothing)).drop("__found", "__value", "__gaps", "__both", "__before")
+    return df.withColumn(out, F.coalesce(out, F.array().cast(SPAN))).drop("__found", "__value", "__gaps", "__both", "__before")
 
 
-def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without its text, with base (spans by start and kind), tokens (start, end, hash) and __key.
+def text_key(text: Column) -> Column:
+    return F.concat_ws(":", F.xxhash64(text), F.length(text))
 
-    __key is equal for rows with equal text and, if there is one, doc_id.
-    """
+
+def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs without its text, with base (spans by start and kind), candidates (start, end, hash, token) and __key of the text."""
     names = [c for c in docs.columns if c != text_col]
     df = docs.withColumn("__t", F.coalesce(F.col(text_col), F.lit(""))).drop(text_col)
     for k, (kind, pattern, group, least) in enumerate(KINDS):
         df = _spans(df, f"__{kind}", pattern, group, least, k)
-    df = _spans(df, "__token", TOKEN, 0, 20, len(KINDS), values=True)
+    df = _spans(df, "__token", TOKEN, 0, 20, len(KINDS))
     mixed = F.filter("__token", lambda s: s["value"].rlike("[0-9].*[0-9]") & s["value"].rlike("[A-Za-z].*[A-Za-z]"))
-    tokens = F.transform(mixed, lambda s: F.struct(s["start"], s["end"], F.sha2(s["value"], 256).alias("hash")))
-    base = F.sort_array(F.concat(*(f"__{kind}" for kind, *_ in KINDS)))
-    key = F.concat_ws(":", group_key(F.col("doc_id")) if "doc_id" in names else F.lit(""), F.xxhash64("__t"), F.length("__t"))
-    return df.select(*(F.col(f"`{c}`") for c in names), *(F.size(f"__{kind}").cast("long").alias(f"n_{kind}") for kind, *_ in KINDS), base.alias("base"), tokens.alias("tokens"), key.alias("__key"))
-
-
-def ownership(found: DataFrame, repository: Column, owner: Column, most_owners: int, by_text: bool = False) -> DataFrame:
-    """hash, n_repositories, n_owners and live of each token in found (tokens, __key). by_text: equal texts have one owner."""
-    text = F.substring_index("__key", ":", -2)
-    each = found.select(repository.alias("r"), owner.alias("o"), text.alias("t"), F.explode("tokens.hash").alias("hash"))
-    if by_text:
-        each = each.groupBy("t", "hash").agg(F.min(F.struct("o", "r")).alias("s")).select("s.r", "s.o", "hash")
-    each = each.select("r", "o", "hash").distinct()
-    by_owner = each.groupBy("hash", "o").agg(F.count(F.lit(1)).alias("n"))
-    total = by_owner.groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
-    return total.withColumn("live", F.col("n_owners") <= most_owners)
-
-
-def judged(docs: DataFrame, source_col: str = "source", lang_col: str = "lang", most_owners: int = 1, by_text: bool = False) -> DataFrame:
-    """scan()'s rows with verdicts: (start, end, live) of each token, by start. Owner: the source; repository: its part in one language."""
+    # a value ends where its match ends
+    place = lambda token: lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash"), F.lit(token).alias("token"))
+    found = F.concat(*(f"__{kind}" for kind, *_ in KINDS))
+    df = df.withColumn("__tokens", F.coalesce(F.transform(mixed, place(True)), F.array().cast(PLACE)))
+    values = F.filter(F.array_distinct(F.transform(found, place(False))), lambda v: ~F.exists("__tokens", lambda t: (t["start"] == v["start"]) & (t["end"] == v["end"])))
+    base = F.sort_array(F.transform(found, lambda s: F.struct(s["start"], s["kind"], s["end"])))
+    return df.select(*(F.col(f"`{c}`") for c in names), *(F.size(f"__{kind}").cast("long").alias(f"n_{kind}") for kind, *_ in KINDS), base.alias("base"), F.concat("__tokens", values).alias("candidates"), text_key(F.col("__t")).alias("__key"))
+
+
+def ownership(found: DataFrame, owner: Column, repository: Column, most_owners: int, most_repositories: int) -> DataFrame:
+    """hash, owners, repositories and live of each candidate in found (candidates, __key). Rows of one text have one repository."""
+    mark = "\x00"  # sorts before all, so that the first repository is one of the first owner
+    whole = F.concat_ws(mark, group_key(owner), group_key(repository))
+    each = found.select("__key", whole.alias("r"), F.explode("candidates.hash").alias("hash")).groupBy("__key", "hash").agg(F.min("r").alias("r"))
+    each = each.select("hash", "r").distinct().groupBy("hash", F.substring_index("r", mark, 1).alias("o")).agg(F.count(F.lit(1)).alias("n"))
+    total = each.groupBy("hash").agg(F.sum("n").alias("repositories"), F.count(F.lit(1)).alias("owners"))
+    return total.withColumn("live", (F.col("owners") <= most_owners) | (F.col("repositories") <= most_repositories))
+
+
+def judged(docs: DataFrame, source_col: str = "source", lang_col: str = "lang", most_owners: int = SECRET_OWNERS, most_repositories: int = SECRET_REPOSITORIES) -> DataFrame:
+    """scan()'s rows with verdicts of the candidates, by start. Owner: the source; repository: its part in one language."""
     found = materialise(scan(docs.select("doc_id", "text", source_col, lang_col)))
-    some = found.where(F.size("tokens") > 0)
-    owner = group_key(F.col(source_col))
-    table = ownership(some, F.concat_ws("\x00", owner, group_key(F.col(lang_col))), owner, most_owners, by_text)
-    places = some.select("__key", F.explode("tokens").alias("t")).select("__key", "t.*").distinct()
-    verdicts = places.join(table.select("hash", "live"), "hash").groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "live"))).alias("verdicts"))
-    return found.drop("tokens").join(verdicts, "__key", "left").withColumn("verdicts", F.coalesce("verdicts", F.array().cast("array<struct<start:bigint,end:bigint,live:boolean>>")))
+    some = found.where(F.size("candidates") > 0)
+    table = ownership(some, F.col(source_col), F.col(lang_col), most_owners, most_repositories)
+    places = some.select("__key", F.explode("candidates").alias("c")).select("__key", "c.*").distinct()  # those of copies once
+    verdicts = places.join(table, "hash").groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "token", "live", "owners", "repositories"))).alias("verdicts"))
+    return found.drop("candidates").join(verdicts, "__key", "left").withColumn("verdicts", F.coalesce("verdicts", F.array().cast(VERDICT)))
 
 
 def spans_text(spans: Column) -> Column:
@@ -103,39 +103,48 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def report(docs: DataFrame, most_owners: int = 1, by_text: bool = False) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans (base and live), n_live and n_example of each document."""
-    df = judged(docs, most_owners=most_owners, by_text=by_text)
-    live = F.transform(F.filter("verdicts", lambda v: v["live"]), lambda v: F.struct(v["start"], F.lit(len(KINDS)).alias("kind"), v["end"]))
+def report(docs: DataFrame, most_owners: int = SECRET_OWNERS, most_repositories: int = SECRET_REPOSITORIES) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans (base and live), n_live, n_example and ownership of each document.
+
+    n_live and n_example count the candidates; ownership lists them as start:end:owners:repositories.
+    """
+    df = judged(docs, most_owners=most_owners, most_repositories=most_repositories)
+    live = F.transform(F.filter("verdicts", lambda v: v["live"] & v["token"]), lambda v: F.struct(v["start"], F.lit(len(KINDS)).alias("kind"), v["end"]))
     spans = F.sort_array(F.concat(F.col("base"), live))
-    n_live = F.size(live).cast("long")
-    return df.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(spans).alias("spans"), n_live.alias("n_live"), (F.size("verdicts") - n_live).cast("long").alias("n_example"))
+    n_live = F.size(F.filter("verdicts", lambda v: v["live"])).cast("long")
+    owned = F.array_join(F.transform("verdicts", lambda v: F.concat_ws(":", v["start"], v["end"], v["owners"], v["repositories"])), ",")
+    return df.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(spans).alias("spans"), n_live.alias("n_live"), (F.size("verdicts") - n_live).cast("long").alias("n_example"), owned.alias("ownership"))
 
 
-def redact(docs: DataFrame, most_owners: int = SECRET_OWNERS, mark: str = "<secret>") -> DataFrame:
+def redact(docs: DataFrame, most_owners: int = SECRET_OWNERS, most_repositories: int = SECRET_REPOSITORIES, mark: str = "<secret>", broadcast_texts: int = 200_000) -> DataFrame:
     """docs with `mark` for each live-looking span: live tokens, and base spans that overlap no widely copied example.
 
-    n_chars, if there is one, follows the text. Only documents in which a pattern occurs are joined with their spans.
+    n_chars, if there is one, follows the text. Texts with spans are looked up in one pass if they are at most
+    broadcast_texts; beyond that only documents in which a pattern occurs are joined with them.
     """
-    names = docs.columns
-    text = F.coalesce(F.col("text"), F.lit(""))
-    maybe = F.lit(False)
-    for pattern in (*(k[1] for k in KINDS), TOKEN):
-        maybe = maybe | text.rlike(pattern)
-    df = judged(docs.where(maybe), most_owners=most_owners, by_text=True)
+    df = judged(docs, most_owners=most_owners, most_repositories=most_repositories)
     example = lambda b: F.exists("verdicts", lambda v: ~v["live"] & (v["start"] < b["end"]) & (b["start"] < v["end"]))
     pair = lambda s: F.struct(s["start"], s["end"])
-    marked = F.sort_array(F.concat(F.transform(F.filter("base", lambda b: ~example(b)), pair), F.transform(F.filter("verdicts", lambda v: v["live"]), pair)))
+    marked = F.sort_array(F.concat(F.transform(F.filter("base", lambda b: ~example(b)), pair), F.transform(F.filter("verdicts", lambda v: v["live"] & v["token"]), pair)))
     spans = df.select("__key", marked.alias("__s")).where(F.size("__s") > 0).dropDuplicates(["__key"])
     # spans that touch or overlap become one
     last = lambda a: F.element_at(a, -1)
     merged = F.aggregate("__s", F.array().cast("array<struct<start:bigint,end:bigint>>"), lambda a, s: F.when((F.size(a) > 0) & (s["start"] <= F.get(a, F.size(a) - 1)["end"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], s["end"]).alias("end"))))).otherwise(F.concat(a, F.array(s))))
     spans = materialise(spans.select("__key", merged.alias("__s")))
-    key = F.concat_ws(":", group_key(F.col("doc_id")), F.xxhash64(text), F.length(text))
-    some = docs.where(maybe).withColumn("__key", key).join(spans, "__key", "left")
-    pieces = F.transform("__s", lambda s, i: F.substring(F.col("text"), (F.when(i > 0, F.get("__s", i - 1)["end"]).otherwise(0) + 1).cast("int"), (s["start"] - F.when(i > 0, F.get("__s", i - 1)["end"]).otherwise(0)).cast("int")))
-    rest = F.substring(F.col("text"), (last(F.col("__s"))["end"] + 1).cast("int"), F.lit(2147483647))
+    if spans.count() <= broadcast_texts:
+        return _masked(docs, F.broadcast(spans), mark)
+    maybe = F.lit(False)
+    for pattern in (*(k[1] for k in KINDS), TOKEN):
+        maybe = maybe | F.coalesce(F.col("text").rlike(pattern), F.lit(False))
+    return docs.where(~maybe).unionByName(_masked(docs.where(maybe), spans, mark))
+
+
+def _masked(docs: DataFrame, spans: DataFrame, mark: str) -> DataFrame:
+    some = docs.withColumn("__key", text_key(F.coalesce(F.col("text"), F.lit("")))).join(spans, "__key", "left")
+    before = lambda i: F.when(i > 0, F.get("__s", i - 1)["end"]).otherwise(0)
+    pieces = F.transform("__s", lambda s, i: F.substring(F.col("text"), (before(i) + 1).cast("int"), (s["start"] - before(i)).cast("int")))
+    rest = F.substring(F.col("text"), (F.element_at("__s", -1)["end"] + 1).cast("int"), F.lit(2147483647))
     some = some.withColumn("text", F.when(F.col("__s").isNotNull(), F.concat(F.array_join(pieces, mark), F.lit(mark), rest)).otherwise(F.col("text")))
-    if "n_chars" in names:
+    if "n_chars" in docs.columns:
         some = some.withColumn("n_chars", F.when(F.col("__s").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return docs.where(~maybe).unionByName(some.select(names))
+    return some.select(docs.columns)

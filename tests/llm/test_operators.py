@@ -176,24 +176,59 @@ def plain_tokens(text):
             yield m
 
 
-def test_secret_scans(docs, none):
-    rows = docs.collect()
-    owners = defaultdict(set)
+def plain_candidates(text):
+    """(start, end) to value and whether it is a token: values of base spans, and tokens."""
+    text = text or ""
+    out = {(m.end(1) - len(m[1]), m.end()): False for m in ASSIGN.finditer(text) if len(m[1]) >= 6}
+    out |= {(start, end): False for start, kind, end in plain_spans(text) if kind}
+    out |= {m.span(): True for m in plain_tokens(text)}
+    return {k: (text[k[0] : k[1]], token) for k, token in out.items()}
+
+
+def plain_owners(rows):
+    """value to owners and to repositories; rows of one text have one repository, the first by owner and language."""
+    name = lambda x: (x is not None, x or "")
+    first = {}
     for r in rows:
-        for m in plain_tokens(r["text"]):
-            owners[m[0]].add(r["source"])
-    show = lambda spans: ",".join(f"{('assign', 'access', 'hex', 'live')[k]}:{s}:{e}" for s, k, e in spans)
+        first[r["text"]] = min(first.get(r["text"], ((True, "\U0010ffff"),)), (name(r["source"]), name(r["lang"])))
+    held = defaultdict(set)
+    for text, where in first.items():
+        for value, _ in plain_candidates(text).values():
+            held[value].add(where)
+    return {v: (len({o for o, _ in s}), len(s)) for v, s in held.items()}
+
+
+def show_spans(spans):
+    return ",".join(f"{('assign', 'access', 'hex', 'live')[k]}:{s}:{e}" for s, k, e in spans)
+
+
+@pytest.mark.parametrize("limits", [(7, 9), (1, 1), (0, 2)])
+def test_secret_scans(docs, none, limits):
+    rows = docs.collect()
+    owners = plain_owners(rows)
     want = Counter()
     for r in rows:
-        base = plain_spans(r["text"])
-        live = [(m.start(), 3, m.end()) for m in plain_tokens(r["text"]) if len(owners[m[0]]) == 1]
+        base, found = plain_spans(r["text"]), plain_candidates(r["text"])
+        live = {k: owners[v][0] <= limits[0] or owners[v][1] <= limits[1] for k, (v, _) in found.items()}
+        tokens = [(s, 3, e) for (s, e), (_, token) in found.items() if token and live[s, e]]
+        owned = ",".join(f"{s}:{e}:{owners[v][0]}:{owners[v][1]}" for (s, e), (v, _) in sorted(found.items()))
         n = Counter(k for _, k, _ in base)
-        want[r["doc_id"], n[0], n[1], n[2], hashlib.sha256(show(base).encode()).hexdigest(), show(sorted(base + live))] += 1
-    out = secret_scan.report(docs).collect()
-    assert Counter(tuple(r)[:6] for r in out) == want
+        want[r["doc_id"], n[0], n[1], n[2], hashlib.sha256(show_spans(base).encode()).hexdigest(), show_spans(sorted(base + tokens)), sum(live.values()), len(live) - sum(live.values()), owned] += 1
+    assert Counter(map(tuple, secret_scan.report(docs, *limits).collect())) == want
     assert secret_scan.report(none).count() == 0
 
 
+def test_only_the_repositories_decide(spark):
+    """Eight owners hold both tokens; one is in ten repositories and an example, the other in eight and live."""
+    many, few = "11acdfb36bb72224148e6160f674b4be45601bff", "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(i, f"text {i} shows {many} and {few} here", "en", f"s{i}") for i in range(8)] + [(10 + i, f"more {i} shows {many} here", "de", f"s{i}") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {r["doc_id"]: r for r in secret_scan.report(df).collect()}
+    assert all((out[i]["n_live"], out[i]["n_example"]) == (1, 1) for i in range(8)) and out[10]["n_example"] == 1 and ":8:10" in out[0]["ownership"]
+    text = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
+    assert all(many in t and few not in t for t in text.values())
+
+
 def test_redaction(odd, real, none):
     for docs in (odd, real):
         before, after = docs.collect(), secret_scan.redact(docs)
@@ -220,8 +255,14 @@ def test_redaction_of_copied_documents(spark):
     assert all(example in text[200 + i] for i in range(12))
     few = secret_scan.redact(df.where("doc_id < 207")).collect()
     assert not any(example in r["text"] for r in few)
-    strict = {r["doc_id"]: (r["n_live"], r["n_example"]) for r in secret_scan.report(df.where("doc_id < 100"), by_text=True).collect()}
+    strict = {r["doc_id"]: (r["n_live"], r["n_example"]) for r in secret_scan.report(df.where("doc_id < 100"), 1, 1).collect()}
     assert set(strict.values()) == {(2, 0)}
+    rest = Counter(map(tuple, secret_scan.redact(df).collect()))
+    assert Counter(map(tuple, secret_scan.redact(df, broadcast_texts=0).collect())) == rest
+    # a short value that many texts of their own hold is an example too, and a copied one is none
+    short = [(i, f"text {i}: password = changeme1 end", "en", f"s{i}") for i in range(12)] + [(50 + i, "one password = changeme2 end", "en", f"s{i}") for i in range(12)]
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact(spark.createDataFrame(short, df.schema)).collect()}
+    assert all("changeme1" in out[i] for i in range(12)) and all(out[50 + i] == "one <secret> end" for i in range(12))
 
 
 def test_decontamination(spark, odd, real, none):
