@@ -106,42 +106,42 @@ WITH items AS (
 SELECT doc_id, try_cast(item AS BIGINT) AS item_id, first_word, n_words, n_equal FROM (SELECT *, unnest(ids) AS item FROM best)
 """
 
-#: Windows are filled turn by turn; what each shows is its turns, the system turn and the history before it.
+#: Windows are filled turn by turn; what each shows is its turns, the system turn and the history before it, as the room goes.
 OP5_SQL = r"""
 WITH RECURSIVE source AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
 ), turns AS (
-  SELECT *, turn // 256 AS segment,
-         len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\x09-\x0D\x20\p{L}\p{N}]')) + 4 AS tokens,
-         -- control strings, a backslash for each backslash, bar after < and line end in a role
-         length('<|im_start|>') + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\' || chr(10))) + 1
-           + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|im_end|>') + 1 AS chars,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS g,
-         dense_rank() OVER (PARTITION BY conv_id ORDER BY turn // 256) AS s
+  -- control strings, a backslash for each backslash, bar after < and line end in a role
+  SELECT *, '<|im_start|>' || replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\' || chr(10)) || chr(10) || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|im_end|>' || chr(10) AS shown,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS g
   FROM source
+), counted AS (
+  SELECT *, strlen(shown) AS tokens, length(shown) AS chars, g // 256 AS s FROM turns
 ), systems AS (
-  SELECT conv_id, turn, role, text, tokens, chars FROM turns WHERE g = 1 AND role = 'system'
+  SELECT conv_id, tokens, chars FROM counted WHERE g = 0 AND role = 'system'
 ), numbered AS (
-  SELECT turns.*, greatest(2048 - 512 - coalesce(systems.tokens, 0), 1) AS room,
-         row_number() OVER (PARTITION BY conv_id, s ORDER BY g) AS place,
-         coalesce((turns.turn, turns.role, turns.text) = (systems.turn, systems.role, systems.text), false) AS is_system
-  FROM turns LEFT JOIN systems USING (conv_id)
+  SELECT c.*, coalesce(y.tokens, 0) AS system_tokens, coalesce(y.chars, 0) AS system_chars, y.conv_id IS NOT NULL AS has_system FROM counted c LEFT JOIN systems y USING (conv_id)
 ), filled AS (
-  SELECT conv_id, s, place, g, 0 AS w, tokens AS used FROM numbered WHERE place = 1
+  SELECT conv_id, g, g AS head, tokens AS used FROM numbered WHERE g % 256 = 0
   UNION ALL
-  SELECT n.conv_id, n.s, n.place, n.g, CASE WHEN used + tokens <= room THEN w ELSE w + 1 END, CASE WHEN used + tokens <= room THEN used + tokens ELSE tokens END
-  FROM filled f JOIN numbered n ON n.conv_id = f.conv_id AND n.s = f.s AND n.place = f.place + 1
-), starts AS (
-  SELECT conv_id, s, w, min(g) AS g FROM filled GROUP BY ALL
+  SELECT n.conv_id, n.g, CASE WHEN fits THEN f.head ELSE n.g END, CASE WHEN fits THEN f.used + n.tokens ELSE n.tokens END
+  FROM filled f JOIN numbered n ON n.conv_id = f.conv_id AND n.g = f.g + 1 AND n.g % 256 > 0,
+       LATERAL (SELECT f.used + n.tokens <= 2048 - 512 - CASE WHEN f.head = 0 THEN 0 ELSE n.system_tokens END AS fits)
+), spans AS (
+  SELECT conv_id, head, max(used) AS used FROM filled GROUP BY ALL
+), rooms AS (
+  SELECT conv_id, head, n.s, n.has_system, CASE WHEN head = 0 THEN 0 ELSE n.system_chars END AS system_chars,
+         2048 - used - CASE WHEN head = 0 THEN 0 ELSE n.system_tokens END AS room
+  FROM spans JOIN numbered n USING (conv_id) WHERE n.g = head
 ), history AS (
-  SELECT b.conv_id, b.w, b.s, h.chars, h.is_system,
-         sum(h.tokens) OVER (PARTITION BY b.conv_id, b.s, b.w ORDER BY h.g DESC) AS total
-  FROM starts b JOIN numbered h ON h.conv_id = b.conv_id AND h.g BETWEEN b.g - 8 AND b.g - 1 AND h.s >= b.s - 1
+  SELECT b.conv_id, b.room, h.chars, sum(h.tokens) OVER (PARTITION BY b.conv_id, b.head ORDER BY h.g DESC) AS total
+  FROM rooms b JOIN numbered h ON h.conv_id = b.conv_id AND h.g BETWEEN b.head - 8 AND b.head - 1 AND h.s >= b.s - 1
+  WHERE NOT (h.g = 0 AND b.has_system)
 ), shown AS (
   SELECT conv_id, chars FROM numbered
-  UNION ALL SELECT conv_id, chars FROM history WHERE total <= 512 AND NOT is_system
-  UNION ALL SELECT b.conv_id, y.chars FROM starts b JOIN systems y USING (conv_id) JOIN numbered n ON n.conv_id = b.conv_id AND n.g = b.g WHERE NOT n.is_system
+  UNION ALL SELECT conv_id, chars FROM history WHERE total <= least(512, room)
+  UNION ALL SELECT conv_id, system_chars FROM rooms WHERE room >= 0
 ), sizes AS (
   SELECT conv_id, sum(chars)::BIGINT AS formatted_chars FROM shown GROUP BY conv_id
 ), texts AS (

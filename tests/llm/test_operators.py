@@ -382,8 +382,7 @@ def test_longest_stretch():
 
 
 def conversation_rows():
-    rows = [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in []]
-    r = random.Random(9)
+    rows, r = [], random.Random(9)
     say = lambda n: " ".join("".join(r.choices("abcé<|\\\n>", k=r.randint(1, 8))) for _ in range(n))
     for c in range(6):
         if c % 2:
@@ -411,23 +410,74 @@ def test_chat_format(spark):
         assert {r["conv_id"]: tuple(r)[1:5] for r in out} == want and len(out) == len(want)
 
 
-def test_chat_windows(spark):
+def plain_windows(rows, budget, history, history_turns, segment):
+    """Turn by turn: (conv_id, formatted, repeated turns, new turns) of each window."""
+    bars = lambda x: x.replace("\\", "\\\\").replace("<|", "<\\|")
+    by, out = defaultdict(list), Counter()
+    for c, t, role, text in rows:
+        by[c].append((t is not None, t or 0, role or "", text or ""))
+    for c, turns in by.items():
+        turns = [(role, "<|im_start|>" + bars(role).replace("\n", "\\\n") + "\n" + bars(text) + "<|im_end|>\n") for _, _, role, text in sorted(turns)]
+        size = [len(x.encode()) for _, x in turns]
+        system = [0] if turns[0][0] == "system" else []
+        heads = []
+        for g in range(len(turns)):
+            room = budget - history - (sum(size[i] for i in system) if heads and heads[-1] else 0)
+            if g % segment == 0 or sum(size[heads[-1] : g + 1]) > room:
+                heads.append(g)
+        for head, end in zip(heads, [*heads[1:], len(turns)], strict=True):
+            shows = system if head else []
+            left = budget - sum(size[i] for i in shows) - sum(size[head:end])
+            repeated = []
+            for i in range(head - 1, max(head - history_turns, (head // segment - 1) * segment, len(system)) - 1, -1):
+                if sum(size[i:head]) > min(history, left):
+                    break
+                repeated.insert(0, i)
+            repeated = shows + repeated if left >= 0 else []
+            out[c, "".join(turns[i][1] for i in [*repeated, *range(head, end)]), len(repeated), end - head] += 1
+    return out
+
+
+@pytest.mark.parametrize("parameters", [(2048, 512, 8, 256), (1500, 400, 4, 16), (300, 100, 3, 2)])
+def test_chat_windows(spark, parameters):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     df = spark.createDataFrame(conversation_rows(), "conv_id long, turn long, role string, text string")
-    rows = chat_format.parse(chat_format.windows(df, budget=400, history=100, history_turns=4)).collect()
-    tokens = lambda s: len(re.findall(r"[^\W_]+|[^\s\w]|_", s)) + 4
+    names = ("budget", "history", "history_turns", "segment")
+    rows = chat_format.parse(chat_format.windows(df, **dict(zip(names, parameters, strict=True)))).collect()
+    budget, history, history_turns, segment = parameters
+    assert Counter((r["conv_id"], r["formatted"], r["n_repeated"], r["n_turns"]) for r in rows) == plain_windows(conversation_rows(), budget, history, history_turns, max(segment, history_turns + 1))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for r in rows:
-        shown = r["formatted"].split("<|im_end|>\n")[:-1]
-        assert len(shown) == r["n_repeated"] + r["n_turns"] and r["n_repeated"] <= 5
-        if r["conv_id"] in (1, 3, 5):
-            assert shown[0].startswith("<|im_start|>system\n")
-        if r["conv_id"] in (0, 1, 2, 3, 4, 5) and r["n_turns"] > 1:
-            assert sum(tokens(t["text"]) for t in r["turns"]) <= 300 + 40
+        assert r["n_turns"] + r["n_repeated"] == 1 or len(tokenizer.encode(r["formatted"], add_special_tokens=False).ids) <= budget
         assert len(r["losses"]) == sum(t["role"] == "assistant" for t in r["turns"])
         for s in r["loss_spans"]:
             assert r["formatted"][: s["start"]].endswith("<|im_start|>assistant\n") and r["formatted"][s["end"] :].startswith("<|im_end|>\n")
     assert sum(r["n_repeated"] > 0 for r in rows) > 20
 
 
+def test_chat_windows_of_any_numbers_and_tokens(spark):
+    """Turn numbers only order turns; token counts of a public vocabulary as a column; long words count whole."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    schema = "conv_id long, turn long, role string, text string, n long"
+    r = random.Random(3)
+    say = [" ".join(r.choices(["some", "words", "turning", "x"], k=r.randint(1, 60))) for _ in range(300)]
+    bars = lambda k: ("user", "assistant")[k % 2]
+    count = lambda k: len(tokenizer.encode(f"<|im_start|>{bars(k)}\n{say[k]}<|im_end|>\n", add_special_tokens=False).ids)
+    found = []
+    for step in (1, 256, 100_000):
+        df = spark.createDataFrame([(1, k * step, bars(k), say[k], count(k)) for k in range(300)], schema)
+        found.append(sorted((w["segment"], w["window"], w["formatted"], w["n_repeated"]) for w in chat_format.windows(df, tokens="n").collect()))
+    assert found[0] == found[1] == found[2] and 3 < len(found[0]) < 60
+    assert all(len(tokenizer.encode(x[2], add_special_tokens=False).ids) <= 2048 for x in found[0])
+    long = spark.createDataFrame([(1, 0, "user", "a" * 100_000), (1, 1, "assistant", "b" * 100_000), (1, 2, "user", "hi")], "conv_id long, turn long, role string, text string")
+    assert [w["n_turns"] + w["n_repeated"] for w in chat_format.windows(long).collect()] == [1, 1, 1]
+
+
 def test_quality_classifier(spark, odd, real, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
