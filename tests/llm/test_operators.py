@@ -143,19 +143,115 @@ def test_quality_rules_reject_outliers(spark):
     assert sum(out[i] for i in range(600)) >= 595
 
 
+def plain_estimate(x, inside=0.75, most_steps=30):
+    """Mean and inverse covariance of the rows of x: every start, each step to the end, nearest rows by bins of the logarithm."""
+    import numpy as np
+
+    dim, spread = x.shape[1], np.array(quality_rules.LEAST_SPREAD)
+    wide = inside / quality_rules.chi2_cdf(quality_rules.chi2_quantile(inside, dim), dim + 2)
+
+    def median(v):
+        bins = np.sort(np.floor(v * quality_rules.STEPS))
+        return (bins[math.ceil(len(v) * 0.5) - 1] + 0.5) / quality_rules.STEPS
+
+    def inverse(c):
+        """Cholesky's factors, each pivot held above its least square."""
+        low = np.zeros((dim, dim))
+        for i in range(dim):
+            for j in range(i + 1):
+                v = max(c[i, j], spread[i] ** 2) if i == j else c[i, j]
+                v -= low[i, :j] @ low[j, :j]
+                low[i, j] = math.sqrt(max(v, spread[i] ** 2 / 4)) if i == j else v / low[j, j]
+        return np.linalg.inv(low @ low.T), np.log(np.diag(low)).sum()
+
+    middle = np.array([median(v) for v in x.T])
+    mad = np.maximum([median(np.abs(v - m)) * 1.4826 for v, m in zip(x.T, middle, strict=True)], spread)
+    off = x - middle
+    signs = (off * (dim / np.maximum(((off / mad) ** 2).sum(1), 1e-12))[:, None]).T @ off / len(x)
+    best = None
+    for mean, cov in ((x.mean(0), np.cov(x.T, bias=True)), (middle, np.diag(mad**2)), (middle, signs)):
+        old, (precision, ldet) = None, inverse(cov)
+        for step in range(most_steps):
+            d = np.einsum("ij,jk,ik->i", x - mean, precision, x - mean)
+            bins = np.floor(np.log1p(np.maximum(d, 0)) * quality_rules.STEPS)
+            near = x[bins <= np.sort(bins)[math.ceil(len(x) * inside) - 1]]
+            mean, old = near.mean(0), ldet
+            precision, ldet = inverse(np.cov(near.T, bias=True) * wide)
+            if step and abs(ldet - old) <= 1e-9:
+                break
+        if best is None or ldet < best[0] - 1e-9:
+            best = (ldet, mean, precision)
+    return best[1:]
+
+
+def test_estimates_against_plain_ones(spark):
+    """Every document's distance and verdict at the query's own parameters: groups of their own, pools, too few, hot ones."""
+    import numpy as np
+
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(3000)]
+
+    def text(k):
+        ws = r.choices(words, k=r.randint(55, 300))
+        if k % 7 == 0:
+            ws = [w + "#" * r.randint(0, 3) for w in ws]
+        if k % 5 == 0:
+            ws += ["the same three"] * r.randint(2, 9)
+        return " ".join(ws) + ("\nline of words" * r.randint(1, 6) if k % 3 == 0 else "")
+
+    rows = [(k, text(k), ("en", "de", None)[k % 3 if k % 4 else 0], ("hot" if k % 3 else f"s{k % 31}") if k % 11 else None) for k in range(900)]
+    rows += [(2000 + k, text(k), "fr", "few") for k in range(10)] + [(3000, None, "en", "hot"), rows[5]]
+    out = quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    by, passed = defaultdict(list), Counter()
+    plain = {}
+    for doc_id, t, lang, source in rows:
+        n, chars, symbols, lines, repeats = plain_statistics(t)
+        m, c = max(n, 1), max(chars, 1)
+        x = [math.log1p(n), c / m, math.sqrt(symbols / c), math.sqrt(lines / m), math.sqrt(repeats / m)]
+        failed = n < 50 or 100 * repeats > 50 * n
+        plain[doc_id] = (x, failed, lang, source)
+        if not failed:
+            by[lang, source].append(x)
+            passed[lang, source] += 1
+    pools = Counter()
+    for (lang, _), n in passed.items():
+        pools[lang] += n * (n < 50)
+    group = {k: k if n >= 50 else (k[0],) if pools[k[0]] >= 50 else None for k, n in passed.items()}
+    members = defaultdict(list)
+    for k, xs in by.items():
+        members[group[k]] += xs
+    models = {g: plain_estimate(np.array(xs)) for g, xs in members.items() if g is not None}
+    assert len({len(g) for g in models}) == 2 and None in members and len(out) == len(rows)
+    limit = quality_rules.chi2_quantile(1 - 1e-5, 5)
+    for row in out:
+        x, failed, *where = plain[row["doc_id"]]
+        g = group.get(tuple(where))
+        if g is None:
+            assert row["distance"] is None and row["kept"] == (not failed)
+            continue
+        mean, precision = models[g]
+        want = (np.array(x) - mean) @ precision @ (np.array(x) - mean)
+        assert abs(row["distance"] - want) <= 1e-6 * max(1, want) and row["kept"] == (not failed and want <= limit)
+    assert 0 < sum(r["kept"] for r in out) < sum(not r["base_failed"] for r in out)
+
+
 def test_mahalanobis_distance(spark):
+    """Outliers that are far and many don't move the estimate; row by row against the rest's own covariance."""
     import numpy as np
 
     g = np.random.default_rng(3)
     x = g.normal(size=(4000, 5)) @ (np.eye(5) * 2 + 0.4)
     x[:600] += 40
-    df = spark.createDataFrame([("g", *map(float, v)) for v in x], "__group string, x0 double, x1 double, x2 double, x3 double, x4 double")
-    model = quality_rules.estimates(df, 0.75, 3)
-    assert model.count() == 1
-    d = np.array([r[1] for r in df.join(model, "__group").select("x0", quality_rules.distance()).collect()])
-    truth = np.linalg.inv(np.cov(x[600:].T))
-    want = np.einsum("ij,jk,ik->i", x - x[600:].mean(0), truth, x - x[600:].mean(0))
-    assert np.corrcoef(np.sort(d[d < 30]), np.sort(want[want < 30]))[0, 1] > 0.99 and (d > quality_rules.chi2_quantile(1 - 1e-5, 5)).sum() >= 600
+    df = spark.createDataFrame([("g", k, *map(float, v)) for k, v in enumerate(x)], "__group string, k int, x0 double, x1 double, x2 double, x3 double, x4 double")
+    for broadcast in (100, 0):
+        model = quality_rules.estimates(df.drop("k"), 0.75, 30, broadcast_groups=broadcast)
+        assert model.count() == 1
+        d = np.array([r[1] for r in df.join(model, "__group").orderBy("k").select("k", quality_rules.distance()).collect()])
+        mean, precision = plain_estimate(x)
+        assert np.allclose(d, np.einsum("ij,jk,ik->i", x - mean, precision, x - mean), rtol=1e-6)
+        truth = np.linalg.inv(np.cov(x[600:].T))
+        want = np.einsum("ij,jk,ik->i", x - x[600:].mean(0), truth, x - x[600:].mean(0))
+        assert np.corrcoef(d[600:], want[600:])[0, 1] > 0.99 and (d[:600] > quality_rules.chi2_quantile(1 - 1e-5, 5)).all()
     assert abs(quality_rules.chi2_quantile(0.95, 5) - 11.0705) < 1e-3
 
 
