@@ -1,9 +1,11 @@
 """Quality classifier: co-training of a text view and a metadata view.
 
-The text view sees what the words are made of (bytes, lengths, repeats), the metadata view source, language and
-layout. Each is a logistic model. Over `rounds` rounds each view labels the unlabelled documents it is surest of,
-in the proportions of the labels, and hands them to the other. Both are then calibrated on labelled rows that
-were not fitted, and a logistic combination of the calibrated views scores all documents.
+The text view sees the content (hashed words and pairs of words, and figures on words, lines and repeats), the
+metadata view source and language and the two together, and nothing of the text. Each is a logistic model whose logits
+are calibrated (Platt's scaling) on labelled rows that were not fitted. Over `rounds` rounds each view labels the
+unlabelled documents that it is surest of by its calibrated probability (0.9 at least), in the proportions of the
+labels, hands them to the other, and is calibrated anew; a view that tells nothing apart there hands on nothing. A
+logistic combination of the calibrated logits scores all documents.
 
 Labels come from a bounded sample: `label_rows` labelled documents, chosen by a hash of the id; the driver holds
 their features alone. All other documents are the pool that the views exchange, however many there are: their
@@ -31,34 +33,49 @@ from pyspark.sql import functions as F
 from stowage.llm.util import slices
 from stowage.session import materialise
 
-SOURCES, LANGS = 64, 16
-TEXT_WIDTH, META_WIDTH = 256 + 8, SOURCES + LANGS + 6
+WORDS, PAIRS, FIGURES = 256, 128, 8
+SOURCES, LANGS, BOTH = 64, 16, 64
+TEXT_WIDTH, META_WIDTH = WORDS + PAIRS + FIGURES, SOURCES + LANGS + BOTH
+#: Words of a worker that are kept with their hashes.
+CACHED_WORDS = 200_000
 #: Logits of the pool are ranked in steps of 1 / STEPS; a view is sure of a document from SURE steps on (0.9).
 STEPS, SURE = 256, 563
 #: From so many partial sums on, executors add them up before the driver does.
 PARTIALS = 256
 
 
+class Words(dict):
+    """CRC-32 of words, kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        self[word] = found = zlib.crc32(word)
+        return found
+
+
+HASHES = Words()
+
+
 def text_view(text: bytes) -> np.ndarray:
-    """Square roots of the shares of bytes, and eight figures on words, lines and repeats."""
-    n = max(len(text), 1)
-    counts = np.bincount(np.frombuffer(text, "uint8"), minlength=256)
-    words, lines = text.split(), [x for x in text.split(b"\n") if x.strip()]
+    """Square roots of the shares of hashed words and pairs of words, and eight figures on characters, words, lines and repeats."""
+    n, words, lines = max(len(text), 1), text.split(), [x for x in text.split(b"\n") if x.strip()]
+    h = np.fromiter(map(HASHES.__getitem__, words), "uint64", len(words))
+    pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)
     k = max(len(words), 1)
+    grams = np.concatenate([np.bincount((h % np.uint64(WORDS)).astype("int64"), minlength=WORDS), np.bincount((pairs % np.uint64(PAIRS)).astype("int64"), minlength=PAIRS)])
+    counts = np.bincount(np.frombuffer(text, "uint8"), minlength=256)
     letters, upper = counts[97:123].sum() + counts[65:91].sum() + counts[128:].sum(), counts[65:91].sum()
-    pairs = set(zip(words, words[1:], strict=False))
-    shape = [np.log1p(len(words)), len(text) / k / 8, len(set(words)) / k, len(pairs) / k, len(set(lines)) / max(len(lines), 1), letters / n, upper / n * 4, counts[48:58].sum() / n * 4]
-    return np.concatenate([np.sqrt(counts / n), shape]).astype("float32")
+    shape = [np.log1p(len(words)), len(text) / k / 8, len(np.unique(h)) / k, len(np.unique(pairs)) / k, len(set(lines)) / max(len(lines), 1), letters / n, upper / n * 4, counts[48:58].sum() / n * 4]
+    return np.concatenate([np.sqrt(grams / k), shape]).astype("float32")
 
 
-def meta_view(text: bytes, source: str | None, lang: str | None) -> np.ndarray:
-    """Hashed source and language, and six figures on size and layout."""
+def meta_view(source: str | None, lang: str | None) -> np.ndarray:
+    """Hashed source, language, and both together."""
     out = np.zeros(META_WIDTH, "float32")
     out[zlib.crc32(repr(source).encode()) % SOURCES] = 1
     out[SOURCES + zlib.crc32(repr(lang).encode()) % LANGS] = 1
-    lines = text.count(b"\n") + 1
-    n = np.log1p(len(text))
-    out[SOURCES + LANGS :] = (n / 8, (n / 8) ** 2, np.log(lines) / 4, np.log1p(len(text) / lines) / 6, (len(text) < 200) * 1.0, (lines > 50) * 1.0)
+    out[SOURCES + LANGS + zlib.crc32(repr((source, lang)).encode()) % BOTH] = 1
     return out
 
 
@@ -96,9 +113,20 @@ def logit(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return x.astype("float64") @ w[:-1] + w[-1]
 
 
+def calibrated(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights whose logits on x are those of a logistic model of y in the logits of w; where these rise against y, none but a bias."""
+    a, b = logistic(logit(w, x)[:, None], y, ridge=1e-4)
+    out = w * a
+    out[-1] += b
+    if a <= 0:
+        out = np.zeros(len(w))
+        out[-1] = np.log(max(y.sum(), 0.5) / max(len(y) - y.sum(), 0.5))
+    return out
+
+
 @dataclass
 class Model:
-    """Weights of both views and of the combination of their logits; None in all: nothing was learned."""
+    """Calibrated weights of both views and of the combination of their logits; None in all: nothing was learned."""
 
     text: np.ndarray | None = None
     meta: np.ndarray | None = None
@@ -222,24 +250,29 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: np.ndarray,
     if len(set(y[fit])) < 2 or len(set(y[fold])) < 2:
         return Model()
     weights, n = [logistic(v[fit], y[fit]) for v in views], int(fit.sum())
+    known = [calibrated(w, v[fold], y[fold]) for w, v in zip(weights, views, strict=True)]
     for turn in range(rounds):
-        counts = pool.counts(weights)
+        counts = pool.counts(known)
         if not len(counts[0][0]):
             break
-        bounds = [Bounds.of(*c, share * (turn + 1), y[fit].mean()) for c in counts]
+        tells = [w[:-1].any() for w in known]
+        bounds = [Bounds.of(*(c if t else (x[:0] for x in c)), share * (turn + 1), y[fit].mean()) for c, t in zip(counts, tells, strict=True)]
+        if not any(b.n for b in bounds):
+            break
         each = [min(1.0, n / max(b.n, 1.0)) for b in bounds[::-1]]  # weight of a pseudo-label that a view gets
-        fixed, weights = weights, [np.zeros(len(w)) for w in weights]  # from sure weights steps could go astray
+        weights = [np.zeros(len(w)) for w in known]  # from sure weights steps could go astray
         for _ in range(steps):
             moved = 0.0
-            for k, (hessian, gradient) in enumerate(pool.sums(fixed, bounds, weights)):
+            for k, (hessian, gradient) in enumerate(pool.sums(known, bounds, weights)):
                 own = derivatives(views[k][fit], y[fit], weights[k])
                 step = newton(weights[k], own[0] + each[k] * hessian, own[1] + each[k] * gradient, n + each[k] * bounds[1 - k].n)
                 weights[k] += step
                 moved = max(moved, np.abs(step).max())
             if moved < 1e-4:  # what is left is about its square
                 break
-    held = np.column_stack([logit(w, v[fold]) for w, v in zip(weights, views, strict=True)])
-    return Model(*weights, logistic(np.clip(held, -15, 15), y[fold], ridge=1e-4))
+        known = [calibrated(w, v[fold], y[fold]) for w, v in zip(weights, views, strict=True)]
+    held = np.column_stack([logit(w, v[fold]) for w, v in zip(known, views, strict=True)])
+    return Model(*known, logistic(np.clip(held, -15, 15), y[fold], ridge=1e-4))
 
 
 def features(rows: DataFrame, extra: list[str]) -> DataFrame:
@@ -251,7 +284,7 @@ def features(rows: DataFrame, extra: list[str]) -> DataFrame:
             get = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
             texts = [t.as_py() or b"" for t in get["text"]]
             x = pa.array([text_view(t).tobytes() for t in texts], pa.binary())
-            m = pa.array([meta_view(t, s, g).tobytes() for t, s, g in zip(texts, get["source"].to_pylist(), get["lang"].to_pylist(), strict=True)], pa.binary())
+            m = pa.array([meta_view(*r).tobytes() for r in zip(get["source"].to_pylist(), get["lang"].to_pylist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(get[k] for k in extra), x, m], [*extra, "x", "m"])
 
     return rows.mapInArrow(view, schema)
@@ -286,7 +319,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             ids, texts, sources, langs = batch.columns
             texts = [t.as_py() or b"" for t in texts]
             x = np.array([text_view(t) for t in texts], "float32").reshape(-1, TEXT_WIDTH)
-            m = np.array([meta_view(*r) for r in zip(texts, sources.to_pylist(), langs.to_pylist(), strict=True)], "float32").reshape(-1, META_WIDTH)
+            m = np.array([meta_view(*r) for r in zip(sources.to_pylist(), langs.to_pylist(), strict=True)], "float32").reshape(-1, META_WIDTH)
             p = sent.value.score(x, m)
             yield pa.RecordBatch.from_arrays([ids, pa.array(p), pa.array(p >= threshold)], ["doc_id", "score", "kept"])
 

@@ -607,6 +607,39 @@ def test_quality_classifier_exchanges_all_unlabelled(spark):
     assert alone.meta[at] == 0 and model.meta[at] != 0 and (model.text != alone.text).any()
 
 
+def test_calibration_changes_an_exchange(spark, monkeypatch):
+    """Sources that fit the few labels by chance: the metadata view is sure of itself, but not on rows it was not fitted to."""
+    import numpy as np
+
+    q, g = quality_classifier, np.random.default_rng(2)
+    n = 400
+    y = (np.arange(n) % 2).astype(float)
+    meta = np.zeros((n, q.META_WIDTH), "float32")
+    meta[np.arange(n), g.integers(0, q.META_WIDTH, n)] = 1
+    text = (g.normal(size=(n, q.TEXT_WIDTH)) * 0.1).astype("float32")
+    text[:, 0] += y * 0.4
+    fold = np.arange(n) % 8 > 1
+    raw = q.logistic(meta[~fold], y[~fold])
+    assert (np.abs(q.binned(q.logit(raw, meta))) >= q.SURE).any()  # sure, and wrong
+    assert (np.abs(q.binned(q.logit(q.calibrated(raw, meta[fold], y[fold]), meta))) < q.SURE).all()
+    own = q.logit(q.calibrated(q.logistic(text[~fold], y[~fold]), text[fold], y[fold]), text[fold])
+    for low, high in ((0.0, 0.5), (0.5, 1.0)):  # of documents with such a probability that share is good
+        some = (low < q.sigmoid(own)) & (q.sigmoid(own) <= high)
+        assert abs(y[fold][some].mean() - q.sigmoid(own)[some].mean()) < 0.1
+    table = spark.createDataFrame([(bytearray(t.tobytes()), bytearray(m.tobytes())) for t, m in zip(text, meta, strict=True)], "x binary, m binary")
+    model = q.cotrain(text, meta, y, fold, q.Pool(table), rounds=1)
+    monkeypatch.setattr(q, "calibrated", lambda w, x, y: w)
+    assert not np.allclose(np.sign(q.cotrain(text, meta, y, fold, q.Pool(table), rounds=1).text), np.sign(model.text))
+
+
+def test_views_are_separate():
+    """Content decides one view, where it comes from the other."""
+    q = quality_classifier
+    assert (q.meta_view("a", "en") != q.meta_view("b", "en")).any() and (q.text_view(b"one two three") != q.text_view(b"one too three")).any()
+    assert len(q.text_view(b"")) == q.TEXT_WIDTH and len(q.meta_view(None, None)) == q.META_WIDTH
+    assert (q.text_view(b"a b c")[: q.WORDS] == q.text_view(b"c b a")[: q.WORDS]).all() and (q.text_view(b"a b c") != q.text_view(b"c b a")).any()
+
+
 def test_quality_classifier_bounds_and_sums(spark, real):
     """Passes over the pool against the same sums over all its rows at once."""
     import numpy as np
