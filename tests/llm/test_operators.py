@@ -683,10 +683,16 @@ def test_url_filters(spark):
     for v, h, p in many:
         clean[h, p] = "block" if clean.get((h, p)) == "block" else v
     df = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)] + [(3, urls[12], 1)], "page_id long, url string, verdict int")
-    for rules, unique, size in ((queries.URL_RULES, queries.URL_RULES, 9), (many, [(v, h, p) for (h, p), v in clean.items()], 50), ([], [], 9)):
-        out = url_filter.judge(df.select("page_id", "url"), rules, block_rules=size).collect()
-        assert Counter(tuple(x)[:1] + tuple(x)[2:] for x in out) == Counter((i, *plain_verdict(u, unique)) for i, u in [*enumerate(urls), (3, urls[12])])
-    assert url_filter.judge(df.select("page_id", "url").limit(0), many).count() == 0
+    rules_table = spark.createDataFrame([*many, (None, "a.b", "/"), ("block", None, "/")], "verdict string, host string, path string")
+    ways = ({}, {"broadcast_rules": 0}, {"broadcast_rules": 0, "split_keys": 7})
+    for rules, unique in ((queries.URL_RULES, queries.URL_RULES), (rules_table, [(v, h, p) for (h, p), v in clean.items()]), ([], [])):
+        want = Counter((i, *plain_verdict(u, unique)) for i, u in [*enumerate(urls), (3, urls[12])])
+        for way in ways:
+            out = url_filter.judge(df.select("page_id", "url"), rules, **way).collect()
+            assert Counter(tuple(x)[:1] + tuple(x)[2:] for x in out) == want
+            assert url_filter.judge(df.select("page_id", "url").limit(0), rules, **way).count() == 0
+    long = spark.createDataFrame([(1, "http://" + "a." * 3000 + "org/" + "x" * 200_000)], "page_id long, url string")
+    assert [url_filter.judge(long, queries.URL_RULES, **way).first()["rule"] for way in ways] == ["org/"] * 3
     clash = url_filter.judge(df, queries.URL_RULES)  # a column of that name is replaced
     assert clash.columns == ["page_id", "url", "host", "path", "rule", "verdict"] and {r["verdict"] for r in clash.collect()} == {"allow", "block"}
 
