@@ -8,7 +8,8 @@ similarity of their sets is `percent` or more; every such pair counts, however f
    below. In a tile linked sets differ in at most d shingles. The shingles are dealt into k = d + r parts by their
    hash; linked sets agree in r parts at least. A part's checksum is a key.
 3. Keys that one set has alone lead nowhere; a set of whose keys fewer than r are shared links with none. The shared
-   keys are few; a bitmap of them (of a fixed size: it only spares work) drops the others before they are shuffled.
+   keys are few; a bitmap of them (16 bits for each, up to `key_bits`: it only spares work) drops the others before
+   they are shuffled.
    Of k keys the d + 1 rarest suffice to meet (prefix filter), so that the most frequent ones, those of passages that
    many documents share, are not used.
 4. Nodes of a key are compared with its smallest node first. What is verified becomes components; of the keys whose
@@ -20,7 +21,8 @@ Nothing is gathered by the driver but counts; the ids of candidate documents are
 of them, and joined by a shuffle beyond.
 
 Null and wordless texts have no shingles, link with nothing and are their own component. Repeated rows get equal
-results. A null doc_id gets the component of equal sets, if they have one. doc_id must tell texts apart.
+results. A null doc_id gets the component of equal sets, if they have one. components() needs a doc_id that tells
+texts apart (rows of one id with different sets are linked through either); keep_one() doesn't.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm.components import connected
-from stowage.llm.util import slices
+from stowage.llm.util import bitmap, has_bit, slices
 from stowage.session import materialise
 
 CACHED_WORDS = 150_000
@@ -98,7 +100,7 @@ def keys(s: np.ndarray, tile: int, k: int) -> np.ndarray:
     return (mix((sums[edges[1:]] - sums[edges[:-1]]) + mix(np.arange(k, dtype="uint64") + np.uint64(tile << 32))) >> np.uint64(16)).view("int64")
 
 
-def bitmap(s: np.ndarray, bits: int) -> bytes:
+def signature(s: np.ndarray, bits: int) -> bytes:
     """Bit i: whether an odd number of hashes ends in i; sets that differ in x shingles differ in x bits at most."""
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype("int64"), minlength=bits) & 1).astype("uint8").tobytes()
 
@@ -155,7 +157,6 @@ def sketches(docs: DataFrame, shingle: int, percent: int, shared: np.ndarray) ->
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, words = Shingles(shingle), sent.value
-        places = np.uint64(64 * len(words))
         for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -164,10 +165,9 @@ def sketches(docs: DataFrame, shingle: int, percent: int, shared: np.ndarray) ->
                 rows.append((doc_id, len(s), hi, lo, True, None, None, None, None, None))
                 for tile, d, k, bits in tiles(len(s), percent) if len(s) and doc_id is not None else ():
                     found = keys(s, tile, k)
-                    at = found.view("uint64") % places
-                    found = found[(words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+                    found = found[has_bit(words, found)]
                     if len(found) >= k - d:
-                        rows.append((doc_id, len(s), hi, lo, False, tile, d, k, found, bitmap(s, bits)))
+                        rows.append((doc_id, len(s), hi, lo, False, tile, d, k, found, signature(s, bits)))
             yield table(rows, names, types)
 
     return docs.mapInArrow(sketch, SKETCH)
@@ -277,13 +277,9 @@ def shared_keys(sets: DataFrame) -> DataFrame:
     return counted.where("x != y").select("key", "c")
 
 
-def key_bitmap(shared: DataFrame, bits: int) -> np.ndarray:
-    """Bit key mod bits is set for each of the shared keys; the driver gathers bits / 64 words at most."""
-    place = F.pmod("key", F.lit(bits))
-    words = shared.groupBy(F.shiftright(place, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {bits}) % 64 as int))")).alias("m")).toArrow()
-    out = np.zeros(bits // 64, "int64")
-    out[words.column("w").to_numpy()] = words.column("m").to_numpy()
-    return out.view("uint64")
+def key_bitmap(shared: DataFrame, most_bits: int) -> np.ndarray:
+    """A bitmap of the shared keys, as large as their number asks for; the driver gathers bits / 64 words at most."""
+    return bitmap(shared, "key", min(most_bits, 1 << max(16, (16 * shared.count()).bit_length())))
 
 
 def meetings(nodes: DataFrame, shared: DataFrame) -> DataFrame:
@@ -294,7 +290,7 @@ def meetings(nodes: DataFrame, shared: DataFrame) -> DataFrame:
     return df.where(room > 0).select(F.explode(F.slice("found", 1, room)).alias("f"), "tile", "node").select(F.col("f.key").alias("key"), "tile", "node")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, block: int = 2000, broadcast_ids: int = 1_000_000, key_bits: int = 1 << 25) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, block: int = 2000, broadcast_ids: int = 1_000_000, key_bits: int = 1 << 28) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each document."""
     few = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t"))
     shared = materialise(shared_keys(set_keys(few, shingle, percent)))
@@ -320,12 +316,30 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """Documents without those whose component has a smaller doc_id; of rows with equal doc_id one. Null ids stay."""
-    found = materialise(components(docs, shingle=shingle, percent=percent, broadcast_ids=broadcast_ids))
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = sized(docs, dropped, "doc_id", "left_anti", broadcast_ids).select(docs.columns)
-    twice = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    single = sized(kept, twice, "doc_id", "left_anti", broadcast_ids)
-    return single.select(docs.columns).unionByName(sized(kept, twice, "doc_id", "left_semi", broadcast_ids).dropDuplicates(["doc_id"]).select(docs.columns))
+    """One document of each component stays: the smallest doc_id. Of rows with one id and text one stays.
+
+    Where rows of one id have different texts, or no id, a hash of id and text above all other ids tells them apart:
+    each is linked for itself, and stays if nothing with a smaller id links with it.
+    """
+    names = docs.columns
+    text = F.coalesce(F.col("text"), F.lit(""))
+    plain = docs.select(F.col("doc_id").cast("long").alias("i"), F.xxhash64(F.length(text), text).alias("h"))
+    each = materialise(plain.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("low"), F.max("h").alias("high")).where("n > 1 or i is null").select("i", "n", "low", "high"))
+    mixed = each.where("low != high or i is null").select("i")
+    own = F.xxhash64(F.col("doc_id").cast("long"), F.length(text), text).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    plain = docs.toDF(*(f"__{k}" for k in range(len(names))))
+    if mixed.isEmpty():
+        keyed = plain.withColumn("node", F.col(f"__{names.index('doc_id')}").cast("long"))
+    else:
+        few = mixed.where("i is not null").withColumnRenamed("i", "doc_id").withColumn("mixed", F.lit(True))
+        keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("own"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+        keys = sized(keys, few, "doc_id", "left", broadcast_ids)
+        keyed = keys.select(*(F.col("row").getField(c).alias(f"__{k}") for k, c in enumerate(names)), F.when(F.col("mixed") | F.col("doc_id").isNull(), F.col("own")).otherwise(F.col("doc_id")).alias("node"))
+    found = components(keyed, "node", f"__{names.index('text')}", shingle=shingle, percent=percent, broadcast_ids=broadcast_ids)
+    found = materialise(found.select(F.col("doc_id").alias("node"), "component_id"))
+    dropped = found.where(F.col("node") != F.col("component_id")).select("node").distinct()
+    kept = sized(keyed, dropped, "node", "left_anti", broadcast_ids)
+    if not each.isEmpty():
+        twice = materialise(found.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"))
+        kept = sized(kept, twice, "node", "left_anti", broadcast_ids).unionByName(sized(kept, twice, "node", "left_semi", broadcast_ids).dropDuplicates(["node"]))
+    return kept.drop("node").toDF(*names)
