@@ -17,7 +17,7 @@ def full_name(hash_: Column, suffix: Column) -> Column:
 
 def object_path(hash_: Column, suffix: Column) -> Column:
     """XX/rest with suffix; a hash under three characters stays as it is, without its suffix."""
-    return F.when(F.length(hash_) < 3, hash_).otherwise(F.concat(F.substring(hash_, 1, 2), F.lit("/"), F.substring(hash_, 3, 1 << 20), suffix))
+    return F.when(F.length(hash_) < 3, hash_).otherwise(F.concat(F.substring(hash_, 1, 2), F.lit("/"), F.substr(hash_, F.lit(3)), suffix))
 
 
 def prefix(hash_: Column) -> Column:
@@ -92,12 +92,24 @@ def suffix_label(suffix: Column) -> Column:
     return out
 
 
+def _utc(timestamp: Column) -> Column:
+    """The time in UTC without a zone, to the second, whatever the session's zone is and does to its clocks."""
+    seconds = F.floor(F.unix_micros(timestamp.cast("timestamp")) / 1_000_000).cast("decimal(18,6)")
+    return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
+def _clock(utc: Column) -> Column:
+    return F.substr(utc.cast("string"), F.lit(12), F.lit(8))
+
+
 def utc_stamp(timestamp: Column) -> Column:
-    return F.date_format(timestamp, "EEE MMM d HH:mm:ss 'UTC' yyyy")
+    """Such as Thu Jan 1 00:00:00 UTC 1970."""
+    day = F.to_date(_utc(timestamp))
+    return F.concat(F.date_format(day, "EEE MMM d "), _clock(_utc(timestamp)), F.date_format(day, " 'UTC' yyyy"))
 
 
 def rfc3339(timestamp: Column) -> Column:
-    return F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.concat(F.date_format(F.to_date(_utc(timestamp)), "yyyy-MM-dd"), F.lit("T"), _clock(_utc(timestamp)), F.lit("Z"))
 
 
 def url_object(path: Column) -> tuple[Column, Column, Column]:

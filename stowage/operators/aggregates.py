@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from stowage import functions as fn
 from stowage import model
-from stowage.operators.joins import pack_copies
+from stowage.operators.joins import HASH_SUFFIX, pack_copies
 
 
-def distinct_entries(bag: DataFrame) -> DataFrame:
-    return bag.select("hash", "suffix").dropDuplicates()
+def distinct_entries(bag: DataFrame, match: list[str] = HASH_SUFFIX) -> DataFrame:
+    return bag.select(*match).dropDuplicates()
 
 
 def union_all(*bags: DataFrame) -> DataFrame:
@@ -90,3 +90,15 @@ def outcomes(found: DataFrame) -> DataFrame:
     """Objects and bytes by outcome of a fetch."""
     return found.groupBy("outcome").agg(F.count(F.lit(1)).alias("objects"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
+
+def mirror_stats(discovered: DataFrame, found: DataFrame, packs: int) -> DataFrame:
+    """One row: entries discovered, skipped as they were there, loose, packed, failed, packs written, and bytes fetched."""
+    n = lambda outcome: F.count_if(F.col("outcome") == outcome).alias(outcome)
+    got = found.agg(n("loose"), n("packed"), n("failed"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("asked"))
+    both = discovered.agg(F.count(F.lit(1)).alias("discovered")).crossJoin(got)  # of one row each
+    return both.select("discovered", (F.col("discovered") - F.col("asked")).alias("skipped"), "loose", "packed", F.lit(packs).cast("long").alias("packs"), "failed", "bytes")
+
+
+def by_repository(stored: DataFrame) -> DataFrame:
+    """Objects and bytes of each repository of a table of several."""
+    return stored.groupBy("repository").agg(F.count(F.lit(1)).alias("objects"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))

@@ -12,6 +12,19 @@ from pyspark.sql import functions as F
 from stowage import functions as fn
 
 HASH_SUFFIX, HASH = ["hash", "suffix"], ["hash"]
+#: Of tables of several repositories, whose stores are apart.
+IN_REPOSITORY = ["repository", "hash", "suffix"]
+
+
+def across(tables: dict[str, DataFrame]) -> DataFrame:
+    """One table of those of several repositories, with the repository as its first column."""
+    out = None
+    for name, df in sorted(tables.items()):
+        part = df.select(F.lit(name).alias("repository"), *(c for c in df.columns if c != "repository"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no repository")
+    return out
 
 
 def _keys(df: DataFrame, match: list[str]) -> DataFrame:
@@ -37,9 +50,21 @@ def pack_copies(entries: DataFrame) -> DataFrame:
     return entries.withColumn("copy", F.row_number().over(Window.partitionBy("hash").orderBy("pack_id", "offset")))
 
 
+def first_copies(entries: DataFrame) -> DataFrame:
+    """The first copy of each hash in order of pack and offset, by partial minima."""
+    rest = [c for c in entries.columns if c not in ("hash", "pack_id", "offset")]
+    one = entries.groupBy("hash").agg(F.min(F.struct("pack_id", "offset", *rest)).alias("s"))
+    return one.select(*(F.col("hash") if c == "hash" else F.col(f"s.{c}").alias(c) for c in entries.columns))
+
+
+def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, to be broadcast if it has no more than `most` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def compacted(entries: DataFrame, reachable: DataFrame) -> DataFrame:
-    """One entry of each reachable hash. Copies go before the join, whose keys are then unique."""
-    return retained(pack_copies(entries).where("copy = 1").drop("copy"), reachable, HASH)
+    """One entry of each reachable hash. Both steps are keyed by the hash, so that entries are shuffled once, if at all."""
+    return first_copies(retained(entries, reachable, HASH))
 
 
 def dropped(entries: DataFrame, reachable: DataFrame) -> DataFrame:
@@ -82,17 +107,20 @@ def other_roots(tags: DataFrame, current: str) -> DataFrame:
 
 
 def lookup(wanted: DataFrame, entries: DataFrame) -> DataFrame:
-    """wanted (hash) with the pack, offset and length of its first copy."""
-    return wanted.join(pack_copies(entries).where("copy = 1").drop("copy", "prefix"), "hash")
+    """wanted (hash) with the pack, offset and length of its first copy. Only entries of wanted hashes are ranked."""
+    found = entries.join(few(wanted.select("hash").distinct()), "hash", "left_semi").select("hash", "pack_id", "offset", "length")
+    return wanted.join(first_copies(found), "hash")
 
 
 def resolve(wanted: DataFrame, loose: DataFrame, entries: DataFrame, upstream: DataFrame | None = None) -> DataFrame:
     """wanted (hash, suffix) with where: loose, pack, upstream or missing, the first that has it."""
-    found = wanted.join(loose.select("hash", "suffix").distinct().withColumn("l", F.lit(1)), HASH_SUFFIX, "left")
-    found = found.join(pack_copies(entries).where("copy = 1").select("hash", "pack_id", "offset", "length"), "hash", "left")
+    asked = few(wanted.select("hash").distinct())
+    found = wanted.join(loose.select("hash", "suffix").join(asked, "hash", "left_semi").distinct().withColumn("l", F.lit(1)), HASH_SUFFIX, "left")
+    packed = entries.join(asked, "hash", "left_semi").select("hash", "pack_id", "offset", "length")
+    found = found.join(first_copies(packed), "hash", "left")
     place = F.when(F.col("l") == 1, "loose").when(F.col("pack_id").isNotNull(), "pack")
     if upstream is not None:
-        found = found.join(upstream.select("hash").distinct().withColumn("u", F.lit(1)), "hash", "left")
+        found = found.join(upstream.select("hash").join(asked, "hash", "left_semi").distinct().withColumn("u", F.lit(1)), "hash", "left")
         place = place.when(F.col("u") == 1, "upstream")
-    packed = lambda c: F.when(F.col("l").isNull(), F.col(c)).alias(c)
-    return found.select("hash", "suffix", place.otherwise("missing").alias("place"), packed("pack_id"), packed("offset"), packed("length"))
+    of_pack = lambda c: F.when(F.col("l").isNull(), F.col(c)).alias(c)
+    return found.select("hash", "suffix", place.otherwise("missing").alias("place"), of_pack("pack_id"), of_pack("offset"), of_pack("length"))
