@@ -21,16 +21,19 @@ class Sweep:
     to_delete: DataFrame
 
 
-def single_pass(stored: DataFrame, reachable: DataFrame) -> DataFrame:
+def single_pass(stored: DataFrame, reachable: DataFrame, match: list[str] = joins.HASH_SUFFIX) -> DataFrame:
     """What a sweep would delete, by hash and suffix."""
-    return joins.unreachable(stored, aggregates.distinct_entries(reachable))
+    return joins.unreachable(stored, aggregates.distinct_entries(reachable, match), match)
 
 
-def two_pass(stored: DataFrame, reachable: DataFrame, delta: DataFrame | Callable[[], DataFrame]) -> Sweep:
-    """Candidates are written before the delta is asked for, so that nothing stored meanwhile becomes one."""
-    candidates = materialise(single_pass(stored, reachable))
+def two_pass(stored: DataFrame, reachable: DataFrame, delta: DataFrame | Callable[[], DataFrame], match: list[str] = joins.HASH_SUFFIX) -> Sweep:
+    """Candidates are written before the delta is asked for, so that nothing stored meanwhile becomes one.
+
+    match: IN_REPOSITORY for tables of several repositories.
+    """
+    candidates = materialise(single_pass(stored, reachable, match))
     late = delta() if callable(delta) else delta
-    to_delete, protected = joins.protect(candidates, aggregates.distinct_entries(late))
+    to_delete, protected = joins.protect(candidates, aggregates.distinct_entries(late, match), match)
     return Sweep(candidates, protected, to_delete)
 
 
@@ -88,3 +91,53 @@ def summary(stored: DataFrame, sweep: Sweep) -> DataFrame:
     safe = sweep.protected.groupBy("suffix").agg(F.count(F.lit(1)).alias("protected"))
     out = checked.join(gone, "suffix", "left").join(safe, "suffix", "left").na.fill(0, ["deleted", "bytes", "protected"])
     return out.select("suffix", fn.suffix_label(F.col("suffix")).alias("label"), "checked", "protected", "deleted", "bytes", F.round(fn.percentage(F.col("deleted"), F.col("checked")), 4).alias("percent"))
+
+
+def report(stored: DataFrame, bag: DataFrame, sweep: Sweep, visited: DataFrame, trees: int = 1, errors: int = 0, phases: dict[str, float] | None = None) -> DataFrame:
+    """One row: trees and catalogs marked, entries named, unique and twice, prefixes with objects, then what the sweep checked,
+    retained, found, protected and would delete, with bytes and percentage; errors; and seconds of each phase (see sinks.timed)."""
+    one = lambda df, *cols: df.agg(*cols)
+    n = F.count(F.lit(1))
+    parts = [
+        one(visited, n.alias("catalogs")),
+        aggregates.duplicates(bag),
+        aggregates.used_prefixes(stored),
+        one(stored, n.alias("checked")),
+        one(sweep.candidates, n.alias("candidates")),
+        one(sweep.protected, n.alias("protected")),
+        one(sweep.to_delete, n.alias("deleted"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(p)  # of one row each
+    out = out.withColumn("retained", F.col("checked") - F.col("candidates")).withColumn("percent", F.round(fn.percentage(F.col("deleted"), F.col("checked")), 4))
+    names = ["catalogs", "entries", "unique_entries", "duplicate_entries", "prefixes", "checked", "retained", "candidates", "protected", "deleted", "percent", "bytes"]
+    seconds = [F.lit(float(v)).alias(f"seconds_{k}") for k, v in (phases or {}).items()]
+    return out.select(F.lit(trees).cast("long").alias("trees"), *names, fn.human_bytes(F.col("bytes")).alias("freed"), F.lit(errors).cast("long").alias("errors"), *seconds)
+
+
+@dataclass
+class Cycle:
+    visited: DataFrame  # hash, depth
+    reachable: DataFrame  # hash, suffix
+    compaction: Compaction
+    stats: DataFrame  # one row
+
+
+def server_cycle(roots: DataFrame, read: Callable[[DataFrame], DataFrame], entries: DataFrame, loose: DataFrame, extras: DataFrame | None = None, per_pack: int = model.PACK_ENTRIES) -> Cycle:
+    """Mark from all roots, then packs anew with what is reachable and loose objects judged by it. sinks.apply_cycle() acts on it.
+
+    read: frontier (hash) to catalog_hash, kind, hash and suffix, such as sources.catalog_refs() of their files; each
+    catalog is read once. extras: entries that the manifest keeps alive. Loose objects (name, length) go by hash alone.
+    """
+    visited, named = marking.mark_reading(roots, read)
+    bag = marking.named_entries(visited, roots, named)
+    bag = bag.unionByName(extras.select("hash", "suffix")) if extras is not None else bag
+    reachable = materialise(aggregates.distinct_entries(bag))
+    plan = compaction(entries, reachable, loose, per_pack)
+    n = F.count(F.lit(1))
+    packed = aggregates.compaction_stats(entries, reachable)
+    packed = packed.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("packs", "kept", "removed", "reclaimed")))
+    judged = aggregates.loose_stats(plan.loose).select(F.col("kept").alias("loose_kept"), F.col("deleted").alias("loose_deleted"), "bytes_freed")
+    stats = visited.agg(n.alias("catalogs")).crossJoin(bag.agg(n.alias("entries"))).crossJoin(reachable.agg(n.alias("unique_entries")))
+    return Cycle(visited, reachable, plan, stats.crossJoin(packed).crossJoin(judged))

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage import functions as fn
-from stowage import model
+from stowage import model, plans, sources
+from stowage.operators import windows
 from stowage.session import materialise
 
 
@@ -24,9 +25,10 @@ def write_entries(entries: DataFrame, path: str) -> None:
     df.repartitionByRange("hash").sortWithinPartitions("prefix", "hash", "suffix").write.mode("overwrite").partitionBy("prefix").parquet(path)
 
 
-def write_chunks(entries: DataFrame, folder: str) -> list[str]:
+def write_chunks(entries: DataFrame, folder: str, dedup: bool = True) -> list[str]:
     """chunk-XX files of sorted 21-byte records; folder must be one that all executors see. Empty prefixes have no file."""
-    df = entries.select(fn.prefix(F.col("hash")).alias("p"), fn.to_binary(F.col("hash"), F.col("suffix")).alias("e")).distinct()
+    df = entries.select(fn.prefix(F.col("hash")).alias("p"), fn.to_binary(F.col("hash"), F.col("suffix")).alias("e"))
+    df = df.distinct() if dedup else df
     df = df.repartition("p").sortWithinPartitions("p", "e")
 
     def write(batches: Iterator) -> Iterator:
@@ -186,6 +188,30 @@ def drop_packs(stale: DataFrame, written: list[dict], packs_dir: str, really: bo
     return gone
 
 
+def apply_cycle(cycle: plans.Cycle, packs_dir: str, status: str | None = None, really: bool = False) -> dict[str, int]:
+    """Write the new packs of plans.server_cycle(), drop stale ones, delete unreachable loose objects (path), note the time in status."""
+    plan = cycle.compaction
+    if not really:
+        return {"packs_written": 0, "packs_dropped": len(drop_packs(plan.stale, [], packs_dir)), "loose_deleted": plan.loose.where("not kept").count()}
+    contents = sources.read_objects(plan.layout.select("prefix", "pack_id", "pack_no", "hash", "new_offset", "offset", "length"), packs_dir)
+    written = write_packs(contents, packs_dir)
+    gone = drop_packs(plan.stale, written, packs_dir, really=True)
+    deleted = delete_files(plan.loose.where("not kept").select("path", "length", fn.suffix_of_name(F.col("name")).alias("suffix")), really=True)
+    out = {"packs_written": len(written), "packs_dropped": len(gone), "loose_deleted": deleted.where("outcome = 'deleted'").count()}
+    if status:
+        now = cycle.stats.sparkSession.range(1).select(fn.utc_stamp(F.current_timestamp()).alias("t")).first()["t"]
+        write_status(status, last_gc=now)
+    return out
+
+
+def write_objects(objects: DataFrame, data_dir: str, packs_dir: str, per_pack: int = model.PACK_ENTRIES) -> list[dict]:
+    """Write objects (hash, suffix, length, outcome, content) where their outcome says: loose ones as files, small ones in packs, once a hash."""
+    write_loose(objects.where("outcome = 'loose'"), data_dir)
+    small = objects.where("outcome = 'packed'").select("hash", "length", "content").dropDuplicates(["hash"])
+    layout = windows.pack_layout(small.select("hash", "length"), per_pack).withColumnRenamed("offset", "new_offset")
+    return write_packs(layout.join(small.select("hash", "content"), "hash"), packs_dir)
+
+
 def write_loose(objects: DataFrame, data_dir: str) -> DataFrame:
     """hash, suffix and length of objects (hash, suffix, content), each written beside its place and renamed."""
 
@@ -208,14 +234,19 @@ def write_loose(objects: DataFrame, data_dir: str) -> DataFrame:
 
 
 def save_processed(hashes: DataFrame, path: str) -> None:
-    """One hash a line, in order; written beside the old table and then put in its place."""
+    """One hash a line, in order, as a new version of the state at path; it counts from the moment it is whole, and older ones go then."""
     spark = hashes.sparkSession
     jvm = spark._jvm.org.apache.hadoop.fs.Path
-    new, final = f"{path}.{uuid.uuid4().hex}", jvm(path)
+    fs = jvm(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = sources.state_versions(spark, path)
+    n = max([int(p[-12:]) for p in old], default=0) + 1
+    new = f"{path}/processed-{n:012d}"
+    fs.delete(jvm(new), True)  # one that was not finished
     hashes.select("hash").distinct().orderBy("hash").write.text(new)
-    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(final, True)
-    fs.rename(jvm(new), final)
+    if not fs.exists(jvm(f"{new}/_SUCCESS")):
+        raise OSError(f"{new} was not finished")
+    for p in old:
+        fs.delete(jvm(p), True)
 
 
 def write_status(path: str, **values: object) -> dict:

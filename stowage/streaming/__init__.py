@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stowage import functions as fn
-from stowage import plans, sinks, sources
-from stowage.operators import marking
+from stowage import model, plans, sinks, sources
+from stowage.operators import aggregates, marking
 from stowage.session import materialise
 
 Fetch = Callable[[str, str], bytes | None]
 
 
-def fetched(wanted: DataFrame, fetch: Fetch, tasks: int = 10) -> DataFrame:
+def fetched(wanted: DataFrame, fetch: Fetch, tasks: int = 10, threshold: int = model.LOOSE_BYTES) -> DataFrame:
     """wanted (hash, suffix) with content, length and outcome (loose, packed or failed). At most `tasks` fetch at once."""
 
     def get(batches: Iterator) -> Iterator:
@@ -32,35 +32,37 @@ def fetched(wanted: DataFrame, fetch: Fetch, tasks: int = 10) -> DataFrame:
 
     rows = wanted.select("hash", "suffix").repartition(tasks).mapInArrow(get, "hash string, suffix string, content binary")
     length = F.octet_length("content").cast("long")
-    return rows.withColumn("length", length).withColumn("outcome", F.when(length.isNull(), "failed").otherwise(fn.size_class(length)))
+    return rows.withColumn("length", length).withColumn("outcome", F.when(length.isNull(), "failed").otherwise(fn.size_class(length, threshold)))
 
 
-def mirror(spark: SparkSession, roots: DataFrame, children: Callable[[DataFrame], DataFrame], refs: Callable[[DataFrame], DataFrame], fetch: Fetch, loose: DataFrame, entries: DataFrame, data_dir: str, state: str) -> dict:
-    """One run: walk new catalogs, fetch what is missing, write it, and advance the state only if nothing failed.
+def mirror(spark: SparkSession, roots: DataFrame, children: Callable[[DataFrame], DataFrame], refs: Callable[[DataFrame], DataFrame], fetch: Fetch, loose: DataFrame, entries: DataFrame, data_dir: str, packs_dir: str, state: str | None, per_pack: int = model.PACK_ENTRIES, tasks: int = 10, threshold: int = model.LOOSE_BYTES) -> dict[str, int]:
+    """One run: walk new catalogs, fetch what is missing, write it loose or into packs by its size, and advance the state only if nothing failed.
 
-    children and refs give, of catalogs (hash), nested ones (hash) and named entries (hash, suffix).
+    children and refs give, of catalogs (hash), nested ones (hash) and named entries (hash, suffix). Without a state
+    those catalogs count as processed whose file is in loose. Returns the counts of aggregates.mirror_stats(), of
+    catalogs and of those that failed.
     """
-    processed = sources.processed_catalogs(spark, state)
+    processed = sources.processed_catalogs(spark, state) if state else loose.where("suffix = 'C'").select("hash")
+    processed = materialise(processed)
 
     def catalogs(frontier: DataFrame) -> DataFrame:
-        got = materialise(fetched(frontier.withColumn("suffix", F.lit("C")), fetch))
+        got = materialise(fetched(frontier.withColumn("suffix", F.lit("C")), fetch, tasks))
         sinks.write_loose(got.where("content is not null"), data_dir)
         return got.select("hash", (F.col("outcome") != "failed").alias("ok"))
 
     visited, lost = marking.mark_fetching(roots, children, processed, catalogs)
-    readable = visited.join(lost, "hash", "left_anti")
-    named = refs(readable.select("hash"))
-    got = materialise(fetched(plans.fetch_plan(named, loose, entries), fetch))
-    sinks.write_loose(got.where("content is not null"), data_dir)
-    counts = {r["outcome"]: r["n"] for r in got.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
-    failed = lost.count() + counts.get("failed", 0)
-    if not failed:
+    named = materialise(aggregates.distinct_entries(refs(visited.join(lost, "hash", "left_anti").select("hash"))))
+    got = materialise(fetched(plans.fetch_plan(named, loose, entries), fetch, tasks, threshold))
+    packs = sinks.write_objects(got.where("content is not null"), data_dir, packs_dir, per_pack)
+    counts = aggregates.mirror_stats(named, got, len(packs)).first().asDict()
+    out = {"catalogs": visited.count(), "catalogs_failed": lost.count(), **counts}
+    if state and not out["catalogs_failed"] and not out["failed"]:
         sinks.save_processed(processed.select("hash").unionAll(visited.select("hash")), state)
-    return {"discovered": visited.count(), "failed": failed, **{k: v for k, v in counts.items() if k != "failed"}}
+    return out
 
 
-def watch(spark: SparkSession, manifests: str, checkpoint: str, cycle: Callable[[dict, int], object], once: bool = True) -> StreamingQuery:
-    """Run cycle(manifest, batch) for each manifest that comes into a folder; with once, for those that are there.
+def watch(spark: SparkSession, manifests: str, checkpoint: str, cycle: Callable[[dict, int], object], once: bool = True, every: str = "15 minutes", name: str | None = None) -> StreamingQuery:
+    """Run cycle(manifest, batch) for each manifest that comes into a folder; with once, for those that are there, else every so often.
 
     The checkpoint advances when a cycle has ended well; a failed one comes again.
     """
@@ -72,7 +74,8 @@ def watch(spark: SparkSession, manifests: str, checkpoint: str, cycle: Callable[
                 cycle(row.asDict(), batch_id)
 
     writer = texts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="15 minutes")).start()
+    writer = writer.queryName(name) if name else writer
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
 def fresh_objects(events: DataFrame, late: str = "1 hour") -> DataFrame:
