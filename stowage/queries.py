@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stowage import functions as fn
@@ -150,7 +150,7 @@ MANIFEST_TEXTS = (
 
 
 def manifest_parse(s: SparkSession, d: str) -> DataFrame:
-    return sources.parse_manifests(s.createDataFrame(list(MANIFEST_TEXTS), "path string, text string"))
+    return sources.parse_manifests(s.createDataFrame(list(MANIFEST_TEXTS), "path string, text string")).drop("extras")
 
 
 def object_names(s: SparkSession, d: str) -> DataFrame:
