@@ -35,12 +35,15 @@ PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]
 #: Least standard deviations: logarithm of words, letters a word, and roots of the shares of symbols, repeated lines and repeated words.
 LEAST_SPREAD = (0.35, 0.3, 0.06, 0.08, 0.12)
 #: Bins of a unit of a statistic, and of the logarithm of 1 + a distance.
-STEPS = 4096
+STEPS = 256
 SYMBOLS = "#*$%&|<>"
 
 
-def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without its text and with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long)."""
+def statistics(docs: DataFrame, text_col: str = "text", code_words: int = 1 << 24) -> DataFrame:
+    """docs without its text and with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long).
+
+    code_words: words up to which a place has room beside a hash.
+    """
     names = [c for c in docs.columns if c != text_col]
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(*(F.col(f"`{c}`") for c in names), text.alias("__t"), words(F.col(text_col)).alias("__w"))
@@ -51,12 +54,21 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     lines = F.filter(F.split("__t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.select(*(F.col(f"`{c}`") for c in names), n.cast("long").alias("n_words"), F.length(bare).cast("long").alias("word_chars"), (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long").alias("n_symbols"), lines.alias("__l"), F.when(n > 2, grams).alias("__g"))
     df = df.withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long")).drop("__l")
-    # most texts repeat no three words; only the others' windows are sorted, equal ones side by side
+    # most texts repeat no three words; only the others' windows are sorted, by 40 bits of a hash and the place
     repeats = F.size(F.array_distinct("__g")) < F.size("__g")
-    df = df.withColumn("__c", F.when(repeats, F.sort_array(F.transform("__g", lambda g, i: F.struct(F.xxhash64(g).alias("h"), g.alias("g"), i.alias("i"))))))
-    same = lambda x, y: F.coalesce((x["h"] == y["h"]) & (x["g"] == y["g"]), F.lit(False))
-    again = F.filter("__c", lambda x, k: same(x, F.get("__c", k + 1)) | same(x, F.get("__c", k - 1)))
-    df = df.withColumn("__p", F.sort_array(F.transform(again, lambda x: x["i"]))).drop("__g", "__c")
+    code = F.transform("__g", lambda g, i: F.xxhash64(g).bitwiseAND(F.lit(~0xFFFFFF)).bitwiseOR(i.cast("long")))
+    df = df.withColumn("__c", F.when(repeats & (F.col("n_words") <= code_words), F.sort_array(code)))
+    at = lambda x: x.bitwiseAND(F.lit(0xFFFFFF)).cast("int")
+    near = lambda x, y: F.coalesce(F.shiftrightunsigned(x, 24) == F.shiftrightunsigned(y, 24), F.lit(False))
+    again = F.filter("__c", lambda x, k: near(x, F.get("__c", k + 1)) | near(x, F.get("__c", k - 1)))
+    unlike = F.filter("__c", lambda x, k: near(x, F.get("__c", k + 1)) & (F.get("__g", at(x)) != F.get("__g", at(F.get("__c", k + 1)))))
+    df = df.withColumn("__p", F.sort_array(F.transform(again, at))).withColumn("__u", F.size(unlike) > 0)
+    # where bits of different windows are equal, or places need more of them, the windows themselves are sorted
+    whole = F.when(F.coalesce("__u", F.lit(True)) & repeats, F.sort_array(F.transform("__g", lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
+    df = df.withColumn("__s", whole)
+    same = lambda x, y: F.coalesce(x["g"] == y["g"], F.lit(False))
+    sure = F.transform(F.filter("__s", lambda x, k: same(x, F.get("__s", k + 1)) | same(x, F.get("__s", k - 1))), lambda x: x["i"])
+    df = df.withColumn("__p", F.coalesce(F.sort_array(sure), "__p")).drop("__g", "__c", "__u", "__s")
     covered = F.transform("__p", lambda p, k: F.least(F.lit(3), p - F.coalesce(F.get("__p", k - 1), F.lit(-3))))
     total = F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)
     return df.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("long"))).drop("__p")
