@@ -290,8 +290,8 @@ def meetings(nodes: DataFrame, shared: DataFrame) -> DataFrame:
     return df.where(room > 0).select(F.explode(F.slice("found", 1, room)).alias("f"), "tile", "node").select(F.col("f.key").alias("key"), "tile", "node")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, block: int = 2000, broadcast_ids: int = 1_000_000, key_bits: int = 1 << 28) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each document."""
+def prepared(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, key_bits: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows of documents (doc_id, n, hi, lo), classes of equal sets (hi, lo, node: the smallest doc_id), meetings of nodes, and sizes of nodes."""
     few = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t"))
     shared = materialise(shared_keys(set_keys(few, shingle, percent)))
     all_rows = materialise(sketches(few, shingle, percent, key_bitmap(shared, key_bits)))
@@ -301,8 +301,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = all_rows.where("not own").withColumnRenamed("doc_id", "node").join(named, "node").where("hi = h and lo = l")
     rows = rows.select("node", "n", "tile", "d", "k", "keys", "bits").dropDuplicates(["node", "tile"])
     rows = materialise(rows)
-    met, sizes = materialise(meetings(rows, shared)), rows.select("node", "tile", "n", "bits")
+    return own, classes, materialise(meetings(rows, shared)), rows.select("node", "tile", "n", "bits")
+
 
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, block: int = 2000, broadcast_ids: int = 1_000_000, key_bits: int = 1 << 28) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each document."""
+    own, classes, met, sizes = prepared(docs, id_col, text_col, shingle, percent, key_bits)
     check = lambda pairs: verified(docs, materialise(pairs), id_col, text_col, shingle, percent, broadcast_ids)
     links = check(hub_pairs(met, sizes, percent))
     known = materialise(connected(links))
@@ -315,6 +319,21 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, block: int = 2000, broadcast_ids: int = 1_000_000, key_bits: int = 1 << 28) -> tuple[DataFrame, DataFrame]:
+    """All links (a, b) between classes of equal sets, named by their smallest doc_id, and per document doc_id, class_id and n_links.
+
+    n_links counts the other classes that link with a document's. components() spares pairs that are connected
+    already; here each pair of classes that meet is compared, which is quadratic in a group of near copies.
+    """
+    own, classes, met, sizes = prepared(docs, id_col, text_col, shingle, percent, key_bits)
+    pairs = materialise(tile_pairs(met.withColumn("component", F.col("node")), sizes, percent, block))
+    found = verified(docs, pairs, id_col, text_col, shingle, percent, broadcast_ids)
+    ends = found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    counted = classes.join(ends, "node", "left")
+    members = own.select("doc_id", "hi", "lo").join(counted, ["hi", "lo"], "left")
+    return found, members.select("doc_id", F.coalesce("node", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80, broadcast_ids: int = 1_000_000) -> DataFrame:
     """One document of each component stays: the smallest doc_id. Of rows with one id and text one stays.
 

@@ -103,10 +103,56 @@ def test_sharding(docs, none):
     assert sharding.interleave(none.select("doc_id", "source")).count() == 0
 
 
-def test_sharding_query(spark, real):
+def spark_hash(*values):
+    """xxhash64 of longs and strings, each seeded with the hash of those before."""
+    import struct
+
+    import xxhash
+
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<i" if isinstance(v, I) else "<q", v), h)
+    return h - (h >> 63 << 64)
+
+
+class I(int):
+    """A 32-bit integer for spark_hash()."""
+
+
+def test_sharding_query(spark, odd, real, tmp_path):
+    """Place by place against plain Python: seeded ranks in each source, fractions (r + 1/2) / n in order, cut evenly."""
+    nulls = odd.where("text is null or text = ''").select("doc_id", "text", "lang", "source", "n_chars").dropDuplicates(["doc_id"])
+    for k, docs in enumerate((real, real.select(nulls.columns).withColumn("doc_id", F.col("doc_id") + 1000).unionByName(nulls))):
+        path = f"{tmp_path}/{k}"
+        docs.write.parquet(f"{path}/documents.parquet")
+        rows = [(r["doc_id"], r["source"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in docs.collect()]
+        by = defaultdict(list)
+        for doc_id, source, size, crc in rows:
+            key = "0" if source is None else "1" + source
+            by[key].append((spark_hash(I(42), doc_id, crc, size), (doc_id is not None, doc_id), crc, size, doc_id))
+        placed = []
+        for key, members in by.items():
+            placed += [((r + 0.5) / len(members), key, *m[1:]) for r, m in enumerate(sorted(members))]
+        placed.sort()
+        n, want = len(placed), {}
+        firsts = [-(-s * n // 16) for s in range(17)]
+        for at, (_, _, _, crc, size, doc_id) in enumerate(placed):
+            shard = max(s for s in range(16) if firsts[s] <= at)
+            want[doc_id] = (size, crc, "rows", shard, at - firsts[shard], None)
+        out = queries.op1_sharding(spark, path).collect()
+        assert {r["doc_id"]: tuple(r)[1:] for r in out} == want and len(out) == len(rows)
+
+
+def test_written_shards(spark, real, tmp_path):
+    placed = sharding.interleave(real.select("doc_id", "source"), shards=4)
+    sharding.write_shards(real, placed, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter((r["shard"], r["doc_id"], r["slot"]) for r in back.collect()) == Counter((r["shard"], r["doc_id"], r["slot"]) for r in placed.collect())
     texts = {r["doc_id"]: r["text"] for r in real.collect()}
-    out = queries.op1_sharding(spark, SF).collect()
-    assert all(r["size"] == len(texts[r["doc_id"]].encode()) + 1 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in out) and len(out) == len(texts)
+    for shard in range(4):
+        slots = [(r["slot"], r["text"] == texts[r["doc_id"]]) for r in spark.read.parquet(str(tmp_path / "out" / f"shard={shard}")).coalesce(1).collect()]
+        assert sorted(slots) == [(i, True) for i in range(len(slots))]
 
 
 def plain_statistics(text):
@@ -131,6 +177,8 @@ def test_quality_rules(docs, none):
         assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
         assert not (r["base_failed"] and r["kept"])
     assert quality_rules.apply_rules(none).count() == 0
+    few = docs.select("doc_id", "text")  # as if every text were too long for places beside hashes
+    assert Counter((r["doc_id"], *(r[n] for n in names)) for r in quality_rules.statistics(few, code_words=0).collect()) == want
 
 
 def test_quality_rules_reject_outliers(spark):
@@ -754,6 +802,33 @@ def test_jaccard_join_of_chains(spark, none):
     assert jaccard.components(none).count() == 0 and jaccard.keep_one(none).count() == 0
 
 
+def test_all_links(spark, odd):
+    """Every pair of different sets that links, and how many each document has."""
+    rows = [(r["doc_id"], r["text"]) for r in odd.where("doc_id is not null").collect()]
+    r = random.Random(17)
+    words = ["".join(r.choices("abcdefgh", k=6)) for _ in range(2000)]
+    passage = r.choices(words, k=60)
+    for k in range(60):  # a group of near copies, most of which link
+        ws = list(passage)
+        for _ in range(r.randint(0, 4)):
+            ws[r.randrange(60)] = r.choice(words)
+        rows.append((2000 + k, " ".join(ws)))
+    for n, percent in ((3, 90), (5, 80), (3, 70)):
+        sets, first = {}, {}
+        for d, text in sorted(rows):
+            ws = split_words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+            g = frozenset(tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)) if len(ws) >= n else frozenset([tuple(ws)] if ws else [])
+            sets[d] = g
+            first.setdefault(g, d)
+        different = [g for g in first if g]
+        want = {tuple(sorted((first[x], first[y]))) for i, x in enumerate(different) for y in different[:i] if 100 * len(x & y) >= percent * len(x | y)}
+        pairs, members = jaccard.links(spark.createDataFrame(rows, "doc_id long, text string"), shingle=n, percent=percent, block=9)
+        assert {tuple(sorted(p)) for p in pairs.collect()} == want and pairs.count() == len(want) > 20
+        count = Counter(d for p in want for d in p)
+        got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in members.collect()}
+        assert got == {d: ((first[g], count[first[g]]) if g else (d, 0)) for d, g in sets.items()}
+
+
 def test_keep_one(odd):
     kept = jaccard.keep_one(odd)
     assert kept.columns == odd.columns
@@ -943,3 +1018,103 @@ def test_packing_plan():
         assert got == Counter(histogram) and max(used.values()) <= 2048 and len(used) == sequences
         total = sum(k * n for k, n in histogram.items())
         assert total / (sequences * 2048) > 0.9 or sequences <= 1 + total // 1024
+
+
+def plain_packing(histogram, capacity):
+    """Contents of the packs when pieces are placed one at a time, longest first, into a shortest pack with room, or a new one."""
+    packs = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            open_ = [p for p in packs if sum(p) + length <= capacity]
+            if open_:
+                min(open_, key=sum).append(length)
+            else:
+                packs.append([length])
+    return packs
+
+
+def test_packing_plan_against_one_piece_at_a_time():
+    r = random.Random(3)
+    for k in range(150):
+        capacity = r.choice([10, 64, 100])
+        histogram = {n: r.randint(1, 12) for n in r.sample(range(1, capacity + 1), r.randint(1, 8))}
+        places, sequences = packing.plan(histogram, capacity)
+        made = defaultdict(list)
+        for length, _, n, first, copies, _ in places:
+            for i in range(n):
+                made[first + i // copies].append(length)
+        plain = plain_packing(histogram, capacity)
+        assert sequences == len(made) == len(plain), (histogram, capacity)
+        # packs of one length are alike to the method, and which of them takes a piece is open; how full packs are is not
+        assert Counter(sum(p) for p in made.values()) == Counter(sum(p) for p in plain), (histogram, capacity)
+
+
+def test_written_sequences(spark, real, tmp_path):
+    packed = packing.pack_documents(real.limit(40), with_ids=True).cache()
+    packing.write_sequences(packed, str(tmp_path / "out"))
+    rows = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert Counter(rows) == Counter(tuple(r) for r in packed.collect())
+
+
+def test_pipeline(spark, odd, real, tmp_path):
+    """run() against its stages' plain versions, over odd, repeated, real and no rows."""
+    import corpus_pipeline
+
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    secret = "zQ9yY8xX7wW6vV5uU4tT3k"
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    item = benchmark.first()["text"]
+    base = [x for x in real.collect()][:60]
+    extra = [(5000, base[0]["text"] + f" key {secret} end", "en", "s1", 1), (5001, " ".join(reversed(max((x["text"] for x in base), key=len).split()[:120])) + " " + item, None, "s2", 1), (5002, base[2]["text"], None, "s3", 1), (5002, base[2]["text"], None, "s3", 1)]
+    extra += [(5003, base[3]["text"], "en", None, None), (None, base[4]["text"] + " new words here", None, None, None), (5004, "1234 %%", "en", "s", 7), (5005, None, None, None, None), (5006, "", "en", "s", 0)]
+    tables = {"odd": odd.select(names), "real": real.select(names).unionByName(spark.createDataFrame(extra, odd.select(names).schema)), "none": odd.select(names).limit(0)}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "secret_scans", "packing"]
+    for name, docs in tables.items():
+        path = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{path}/documents.parquet")
+        benchmark.write.parquet(f"{path}/benchmark.parquet")
+        now = spark.read.parquet(f"{path}/documents.parquet")
+        stages = dict(corpus_pipeline.STAGES)
+        kept = {}
+        for stage in ("language_id", "near_duplicates", "decontamination", "secret_scans"):
+            out = stages[stage](spark, now, path)
+            assert out.columns == now.columns
+            out.write.parquet(f"{path}/{stage}")
+            before, now = now.collect(), spark.read.parquet(f"{path}/{stage}")
+            rows = now.collect()
+            kept[stage] = rows
+            if stage == "language_id":
+                assert not [x for x in rows if not any(map(str.isalpha, x["text"] or ""))] and not [x for x in rows if x["lang"] is None]
+            elif stage == "near_duplicates":
+                sets = [plain_components([(0, x["text"]), (1, y["text"])], 5, 80)[1][1] for k, x in enumerate(rows[:40]) for y in rows[:k]]
+                assert all(sets)  # none links with another
+                ids = Counter(x["doc_id"] for x in before)
+                unique = [(x["doc_id"], x["text"]) for x in before if x["doc_id"] is not None and ids[x["doc_id"]] == 1]
+                alone = {d for d, (_, c) in plain_components(unique, 5, 80).items() if d == c}
+                assert {x["doc_id"] for x in rows if x["doc_id"] in dict(unique)} <= alone
+            elif stage == "decontamination":
+                index = decontamination.Index([(b["item_id"], decontamination.item_words(b["text"])) for b in benchmark.collect()], 0.8, 12)
+                assert Counter((x["doc_id"], x["text"]) for x in rows) == Counter((x["doc_id"], x["text"]) for x in before if not index.find(x["text"]))
+            else:
+                assert len(rows) == len(before) and not any(secret in x["text"] for x in rows) and all(x["n_chars"] is None or x["n_chars"] == len(x["text"]) or "<secret>" not in x["text"] for x in rows)
+        if name == "real":
+            assert 5001 in {x["doc_id"] for x in kept["near_duplicates"]} and 5001 not in {x["doc_id"] for x in kept["decontamination"]} and 5000 in {x["doc_id"] for x in kept["language_id"]}
+        ran = corpus_pipeline.run(spark, path)
+        assert ran.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset"]
+        got = ran.collect()
+        want = Counter((x["doc_id"], zlib.crc32(ids), len(ids) // 4) for x in kept["secret_scans"] for ids in [packing.encoder(packing.tokenizer_path())(x["text"].encode()) + (1).to_bytes(4, "little")] if len(ids) <= 4 * 2048)
+        assert Counter((x["doc_id"], x["ids_crc32"], x["length"]) for x in got if x["length"] == x["doc_tokens"]) == want
+        places = defaultdict(list)
+        for x in got:
+            places[x["sequence_id"]].append((x["offset"], x["length"]))
+        for p in places.values():
+            p.sort()
+            assert p[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(p, p[1:], strict=False)) and sum(p[-1]) <= 2048
+        assert bool(got) == (name != "none")
+
+
+def test_pipeline_is_repeatable(spark, tmp_path):
+    import corpus_pipeline
+
+    found = [sorted(map(str, corpus_pipeline.run(spark, SF).collect())) for _ in range(2)]
+    assert found[0] == found[1] and found[0]
