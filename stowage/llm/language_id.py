@@ -34,8 +34,8 @@ SMOOTHING = 0.05
 PLAIN = 32
 #: Sums under 1 / SCALE are multiplied by it.
 SCALE = 2.0**256
-#: Positions of longer words whose pieces are looked up at once.
-STRETCH = 4096
+#: Positions of longer words whose pieces are looked up at once, and characters of such words that are worked on together.
+STRETCH, TOGETHER = 4096, 1 << 18
 CACHED_WORDS, CACHED_CHARS = 150_000, 48
 #: Rows of a batch that are worked on together.
 ROWS = 1024
@@ -216,8 +216,8 @@ class Scorer:
                         a[end, some] += a[end - m - 1, some] * self.p[k[some]]
             out[members] = np.log(a[n])
         long = sorted((n, k) for n, ks in by.items() if n > PLAIN for k in ks)
-        while long:  # words of like lengths together
-            members = [k for n, k in long if 4 * n <= 5 * long[0][0]]
+        while long:  # words of like lengths together, as many as stand in memory
+            members = [k for i, (n, k) in enumerate(long) if not i or (4 * n <= 5 * long[0][0] and (i + 1) * n <= TOGETHER)]
             out[members] = self.whole([words[k] for k in members])
             long = long[len(members) :]
         return out
