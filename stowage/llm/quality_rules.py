@@ -3,8 +3,8 @@
 Each document has a vector of transformed statistics. For each language and source the mean and covariance of the
 `inside` share of documents with the smallest covariance determinant are sought: from three deterministic starts
 (mean with covariance, median with median absolute deviation, median with the covariance of spatial signs)
-concentration steps take the nearest documents and estimate anew, until no group's determinant falls any more (or
-`most_steps`, which are a bound for the sake of time); the start that ends with the smallest determinant counts.
+concentration steps take the nearest documents and estimate anew, as long as the determinant falls (`most_steps` at
+most, a bound for the sake of time); the start that ends with the smallest determinant counts.
 Documents beyond a Mahalanobis distance are rejected.
 
 Everything is DataFrame expressions. Statistics are made in one pass over the texts and kept without them. Medians
@@ -188,14 +188,22 @@ def estimates(vectors: DataFrame, inside: float, most_steps: int, spread: tuple[
     # the covariance of the nearest share of a normal sample, made that of the whole
     wide = inside / chi2_cdf(chi2_quantile(inside, DIM), DIM + 2)
     names = [c for c in model.columns if c not in keys]
+    ended, active = model.limit(0), model
     for step in range(most_steps):
-        near = vectors.join(sized(model, broadcast_groups), "__group").select(*keys, *XS, distance_bin().alias("bin"))
+        near = vectors.join(sized(active, broadcast_groups), "__group").select(*keys, *XS, distance_bin().alias("bin"))
         bound = materialise(reached(near.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")), keys, inside).withColumnRenamed("bin", "__most"))
         chosen = moments(near.join(sized(bound, broadcast_groups), keys).where(F.col("bin") <= F.col("__most")), keys)
         chosen = chosen.select(*keys, *ms, *((F.col(c) * wide).alias(c) for c in cs))
-        old, model = model, materialise(inverted(chosen, keys, spread))
-        if step and old.select(*keys, F.col("ldet").alias("o")).join(model, keys).where(F.abs(F.col("ldet") - F.col("o")) > 1e-9).isEmpty():
+        stepped = inverted(chosen, keys, spread)
+        if step:  # a start's own covariance is that of no share
+            stepped = stepped.join(active.select(*keys, F.col("ldet").alias("__old")), keys).where(F.col("ldet") < F.col("__old") - 1e-9).drop("__old")
+        stepped = materialise(stepped)
+        if step:
+            ended = materialise(ended.unionByName(active.join(stepped.select(*keys), keys, "left_anti")))
+        active = stepped
+        if active.isEmpty():
             break
+    model = ended.unionByName(active)
     best = model.groupBy("__group").agg(F.min(F.struct("ldet", "__start", *(c for c in names if c != "ldet"))).alias("s"))
     return materialise(best.select("__group", *(f"s.{c}" for c in names)))
 

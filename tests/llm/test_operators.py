@@ -218,15 +218,15 @@ def plain_estimate(x, inside=0.75, most_steps=30):
     signs = (off * (dim / np.maximum(((off / mad) ** 2).sum(1), 1e-12))[:, None]).T @ off / len(x)
     best = None
     for mean, cov in ((x.mean(0), np.cov(x.T, bias=True)), (middle, np.diag(mad**2)), (middle, signs)):
-        old, (precision, ldet) = None, inverse(cov)
-        for step in range(most_steps):
+        (precision, _), ldet = inverse(cov), None
+        for _ in range(most_steps):
             d = np.einsum("ij,jk,ik->i", x - mean, precision, x - mean)
             bins = np.floor(np.log1p(np.maximum(d, 0)) * quality_rules.STEPS)
             near = x[bins <= np.sort(bins)[math.ceil(len(x) * inside) - 1]]
-            mean, old = near.mean(0), ldet
-            precision, ldet = inverse(np.cov(near.T, bias=True) * wide)
-            if step and abs(ldet - old) <= 1e-9:
+            found = inverse(np.cov(near.T, bias=True) * wide)
+            if ldet is not None and found[1] >= ldet - 1e-9:
                 break
+            mean, (precision, ldet) = near.mean(0), found
         if best is None or ldet < best[0] - 1e-9:
             best = (ldet, mean, precision)
     return best[1:]
@@ -347,7 +347,8 @@ def show_spans(spans):
 
 
 @pytest.mark.parametrize("limits", [(7, 9), (1, 1), (0, 2)])
-def test_secret_scans(docs, none, limits):
+def test_secret_scans(docs, none, limits, monkeypatch):
+    monkeypatch.setattr(secret_scan, "HOT_TEXTS", limits[0])  # some are hot
     rows = docs.collect()
     owners = plain_owners(rows)
     want = Counter()
@@ -632,6 +633,9 @@ def test_quality_classifier(spark, odd, real, none):
     rest = labels.where(F.crc32(F.col("doc_id").cast("string")) % 2 == 1).groupBy("doc_id").agg(F.max("quality").alias("q"))
     pairs = [(r["kept"], r["q"] == 1) for r in out.join(rest, "doc_id").collect()]
     assert sum(a == b for a, b in pairs) / len(pairs) > 0.97
+    both = {r["doc_id"]: r["score"] for r in quality_classifier.fit_and_score(docs, even).collect()}
+    assert len(both) == docs.count() and all(abs(both[r["doc_id"]] - r["score"]) < 1e-9 for r in out.collect())
+    assert quality_classifier.fit_and_score(none, labels).count() == 0 and quality_classifier.fit_and_score(odd, labels).count() == odd.count()
     some = quality_classifier.score(odd, model).collect()
     assert len(some) == odd.count() and all(0 <= r["score"] <= 1 for r in some)
     assert quality_classifier.score(none, model).count() == 0
