@@ -294,15 +294,19 @@ def gathered(rows: list, key: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(r[key]) for r in rows), "float32").reshape(-1, width)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", label_rows: int = 4000, rounds: int = 3) -> Model:
-    """Model from labels (doc_id, label_col: 0 or 1) and documents (doc_id, text, lang, source)."""
+def labelled_features(docs: DataFrame, labels: DataFrame, label_col: str = "quality", label_rows: int = 4000) -> DataFrame:
+    """doc_id, y (null: not in the sample of labels), x and m of all documents, written."""
     order = F.xxhash64(F.lit(6), F.col("doc_id"))
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.round(F.avg(label_col)).cast("int").alias("y"))
     known = known.orderBy(order, "doc_id").limit(label_rows)
     few = docs.select("doc_id", F.col("text").cast("binary").alias("text"), "source", "lang")
     # the sample of labels is bounded by a parameter, and so may be broadcast
     few = few.join(F.broadcast(known), "doc_id", "left").select("doc_id", "y", "text", "source", "lang")
-    table = materialise(features(few, ["doc_id", "y"]))
+    return materialise(features(few, ["doc_id", "y"]))
+
+
+def train(table: DataFrame, rounds: int = 3) -> Model:
+    """Model from labelled_features()."""
     one = table.where(F.col("y").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("y", "x", "m")).alias("s"))  # of repeated ids one row
     labelled = sorted(one.select("doc_id", "s.*").toLocalIterator(), key=lambda r: r["doc_id"])
     y = np.array([r["y"] for r in labelled], float)
@@ -310,6 +314,25 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", label_ro
     return cotrain(gathered(labelled, "x", TEXT_WIDTH), gathered(labelled, "m", META_WIDTH), y, fold, Pool(table.where(F.col("y").isNull())), rounds=rounds)
 
 
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", label_rows: int = 4000, rounds: int = 3) -> Model:
+    """Model from labels (doc_id, label_col: 0 or 1) and documents (doc_id, text, lang, source)."""
+    return train(labelled_features(docs, labels, label_col, label_rows), rounds)
+
+
+def fit_and_score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", label_rows: int = 4000, rounds: int = 3, threshold: float = 0.5) -> DataFrame:
+    """score() of the documents that fit() learns from, with the features that are written already."""
+    table = labelled_features(docs, labels, label_col, label_rows)
+    sent = docs.sparkSession.sparkContext.broadcast(train(table, rounds))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, m = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "float32").reshape(-1, n) for i, n in ((1, TEXT_WIDTH), (2, META_WIDTH)))
+            p = sent.value.score(x, m)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(p >= threshold)], ["doc_id", "score", "kept"])
+
+    return table.select(F.col("doc_id").cast("long").alias("doc_id"), "x", "m").mapInArrow(scored, "doc_id long, score double, kept boolean")
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """doc_id, score (probability of quality 1) and kept (score >= threshold) of all documents."""
     sent = docs.sparkSession.sparkContext.broadcast(model)

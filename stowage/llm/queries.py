@@ -54,8 +54,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+    return quality_classifier.fit_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
