@@ -10,7 +10,7 @@ and repository between them, the first by name.
 
 Everything is DataFrame expressions. Texts are read once and never shuffled for the scan; only hashes and places
 are. Distinct (text, hash) and (hash, owner, repository) come before the counts, so that a token copied into a third
-of all documents is no hot group.
+of all documents is no hot group; verdicts of hashes that very many texts hold are broadcast to their places.
 
 Null texts are empty; null repositories and owners are values like others; repeated rows get equal spans. Places
 are code points, ends exclusive.
@@ -34,6 +34,8 @@ KINDS = (
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 #: Owners and repositories, over distinct texts, that a candidate may have and still be a secret.
 SECRET_OWNERS, SECRET_REPOSITORIES = 7, 9
+#: Texts from which on a hash is hot, and how many such hashes are broadcast.
+HOT_TEXTS, HOT_HASHES = 10_000, 100_000
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 PLACE = "array<struct<start:bigint,end:bigint,hash:string,token:boolean>>"
 VERDICT = "array<struct<start:bigint,end:bigint,token:boolean,live:boolean,owners:bigint,repositories:bigint>>"
@@ -79,12 +81,12 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def ownership(found: DataFrame, owner: Column, repository: Column, most_owners: int, most_repositories: int) -> DataFrame:
-    """hash, owners, repositories and live of each candidate in found (candidates, __key). Rows of one text have one repository."""
+    """hash, owners, repositories, texts and live of each candidate in found (candidates, __key). Rows of one text have one repository."""
     mark = "\x00"  # sorts before all, so that the first repository is one of the first owner
     whole = F.concat_ws(mark, group_key(owner), group_key(repository))
     each = found.select("__key", whole.alias("r"), F.explode("candidates.hash").alias("hash")).groupBy("__key", "hash").agg(F.min("r").alias("r"))
-    each = each.select("hash", "r").distinct().groupBy("hash", F.substring_index("r", mark, 1).alias("o")).agg(F.count(F.lit(1)).alias("n"))
-    total = each.groupBy("hash").agg(F.sum("n").alias("repositories"), F.count(F.lit(1)).alias("owners"))
+    each = each.groupBy("hash", "r").agg(F.count(F.lit(1)).alias("t")).groupBy("hash", F.substring_index("r", mark, 1).alias("o")).agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t"))
+    total = each.groupBy("hash").agg(F.sum("n").alias("repositories"), F.count(F.lit(1)).alias("owners"), F.sum("t").alias("texts"))
     return total.withColumn("live", (F.col("owners") <= most_owners) | (F.col("repositories") <= most_repositories))
 
 
@@ -92,9 +94,15 @@ def judged(docs: DataFrame, source_col: str = "source", lang_col: str = "lang",
     """scan()'s rows with verdicts of the candidates, by start. Owner: the source; repository: its part in one language."""
     found = materialise(scan(docs.select("doc_id", "text", source_col, lang_col)))
     some = found.where(F.size("candidates") > 0)
-    table = ownership(some, F.col(source_col), F.col(lang_col), most_owners, most_repositories)
+    table = materialise(ownership(some, F.col(source_col), F.col(lang_col), most_owners, most_repositories))
     places = some.select("__key", F.explode("candidates").alias("c")).select("__key", "c.*").distinct()  # those of copies once
-    verdicts = places.join(table, "hash").groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "token", "live", "owners", "repositories"))).alias("verdicts"))
+    hot = table.where(F.col("texts") > HOT_TEXTS)
+    if 0 < hot.limit(HOT_HASHES + 1).count() <= HOT_HASHES:
+        cold = places.join(F.broadcast(hot.select("hash")), "hash", "left_anti").join(table, "hash")
+        found_places = cold.unionByName(places.join(F.broadcast(hot), "hash"))
+    else:
+        found_places = places.join(table, "hash")
+    verdicts = found_places.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "token", "live", "owners", "repositories"))).alias("verdicts"))
     return found.drop("candidates").join(verdicts, "__key", "left").withColumn("verdicts", F.coalesce("verdicts", F.array().cast(VERDICT)))
 
 
