@@ -135,9 +135,14 @@ def groups(stats: DataFrame, least_rows: int) -> DataFrame:
 XS = [f"x{i}" for i in range(DIM)]
 
 
-def sized(table: DataFrame, broadcast_groups: int) -> DataFrame:
-    """A written table of groups, broadcast if it is small."""
-    return F.broadcast(table) if table.count() <= broadcast_groups else table
+def hinted(table: DataFrame, small: bool) -> DataFrame:
+    """A table of groups, to be broadcast if it is known to be small."""
+    return F.broadcast(table) if small else table
+
+
+def free_driver(df: DataFrame) -> None:
+    """Collect the driver's garbage: broadcast tables of ended steps are only removed when their handles are."""
+    df.sparkSession._jvm.java.lang.System.gc()
 
 
 def moments(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -171,13 +176,14 @@ def estimates(vectors: DataFrame, inside: float, most_steps: int, spread: tuple[
     start = lambda df, k: df.select("__group", F.lit(k).alias("__start"), *ms, *cs)
     classic = materialise(moments(vectors, ["__group"]))
     middle = materialise(medians(vectors, [F.col(x) for x in XS], ms))
-    off = vectors.join(sized(middle, broadcast_groups), "__group")
+    small = 3 * middle.count() <= broadcast_groups  # all tables below have a row for each group and start at most
+    off = vectors.join(hinted(middle, small), "__group")
     mads = materialise(medians(off, [F.abs(F.col(x) - F.col(m)) for x, m in zip(XS, ms, strict=True)], [f"a{i}" for i in range(DIM)]))
     # 1.4826: a normal variable's standard deviation over its median absolute deviation
     scale = [F.greatest(F.col(f"a{i}") * 1.4826, F.lit(spread[i])) for i in range(DIM)]
     spreads = materialise(middle.join(mads, "__group").select("__group", *ms, *(v.alias(f"s{i}") for i, v in enumerate(scale))))
     robust = spreads.select("__group", *ms, *((F.pow(f"s{i}", 2) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in PAIRS))
-    z = vectors.join(sized(spreads, broadcast_groups), "__group")
+    z = vectors.join(hinted(spreads, small), "__group")
     z = z.select("__group", *((F.col(x) - F.col(f"m{i}")).alias(f"x{i}") for i, x in enumerate(XS)), *(f"s{i}" for i in range(DIM)))
     norm = sum((F.pow(F.col(x) / F.col(f"s{i}"), 2) for i, x in enumerate(XS)), F.lit(0.0))
     # as wide as a normal sample's: a sign has a DIM-th of its square in each direction
@@ -188,22 +194,26 @@ def estimates(vectors: DataFrame, inside: float, most_steps: int, spread: tuple[
     # the covariance of the nearest share of a normal sample, made that of the whole
     wide = inside / chi2_cdf(chi2_quantile(inside, DIM), DIM + 2)
     names = [c for c in model.columns if c not in keys]
-    ended, active = model.limit(0), model
+    ended, active = [], model
     for step in range(most_steps):
-        near = vectors.join(sized(active, broadcast_groups), "__group").select(*keys, *XS, distance_bin().alias("bin"))
+        near = vectors.join(hinted(active, small), "__group").select(*keys, *XS, distance_bin().alias("bin"))
         bound = materialise(reached(near.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")), keys, inside).withColumnRenamed("bin", "__most"))
-        chosen = moments(near.join(sized(bound, broadcast_groups), keys).where(F.col("bin") <= F.col("__most")), keys)
+        bounded = vectors.join(hinted(materialise(active.join(bound, keys)), small), "__group")
+        chosen = moments(bounded.where(distance_bin() <= F.col("__most")).select(*keys, *XS), keys)
         chosen = chosen.select(*keys, *ms, *((F.col(c) * wide).alias(c) for c in cs))
         stepped = inverted(chosen, keys, spread)
         if step:  # a start's own covariance is that of no share
             stepped = stepped.join(active.select(*keys, F.col("ldet").alias("__old")), keys).where(F.col("ldet") < F.col("__old") - 1e-9).drop("__old")
         stepped = materialise(stepped)
         if step:
-            ended = materialise(ended.unionByName(active.join(stepped.select(*keys), keys, "left_anti")))
+            ended.append(active.join(stepped.select(*keys), keys, "left_anti"))
         active = stepped
         if active.isEmpty():
             break
-    model = ended.unionByName(active)
+        free_driver(vectors)
+    for rest in ended:
+        active = active.unionByName(rest)
+    model = active
     best = model.groupBy("__group").agg(F.min(F.struct("ldet", "__start", *(c for c in names if c != "ldet"))).alias("s"))
     return materialise(best.select("__group", *(f"s.{c}" for c in names)))
 
@@ -219,8 +229,9 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stats = materialise(stats.select("*", *(x.alias(f"x{i}") for i, x in enumerate(vector()))))
     passed = stats.where(~F.col("base_failed"))
     grouped = materialise(groups(passed, least_rows))
-    vectors = passed.join(sized(grouped, broadcast_groups), "__k").where(F.col("__group").isNotNull()).select("__group", *XS)
+    small = grouped.count() <= broadcast_groups
+    vectors = passed.join(hinted(grouped, small), "__k").where(F.col("__group").isNotNull()).select("__group", *XS)
     model = materialise(grouped.join(estimates(vectors, inside, most_steps, least_spread, broadcast_groups), "__group").drop("__group", "ldet"))
-    out = stats.join(sized(model, broadcast_groups), "__k", "left").withColumn("distance", distance())
+    out = stats.join(hinted(model, small), "__k", "left").withColumn("distance", distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(1 - beyond, DIM), F.lit(True))
     return out.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
