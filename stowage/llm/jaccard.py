@@ -93,7 +93,7 @@ def shape(low: int, percent: int) -> tuple[int, int, int]:
 
 
 def keys(s: np.ndarray, tile: int, k: int) -> np.ndarray:
-    """Checksums of the k parts. 48 bits: two that are equal by chance are a meeting more, which is verified away."""
+    """Checksums of the k parts. 48 bits: two that are equal by chance, be it those of two tiles, are a meeting more: a key's nodes are told apart by tile, and pairs are verified."""
     part = ((s >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)  # grows with s, which is sorted
     edges = np.searchsorted(part, np.arange(k + 1, dtype="uint64"))
     sums = np.concatenate([np.zeros(1, "uint64"), np.cumsum(mix(s), dtype="uint64")])
@@ -210,9 +210,9 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shin
 
 
 def hub_pairs(met: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each node with the smallest node of its key, if the bitmaps let them link. met: key, tile, node; sizes: node, tile, n, bits."""
-    hubs = met.groupBy("key").agg(F.min("node").alias("hub"))
-    near = met.join(hubs, "key").where(F.col("node") != F.col("hub")).select("tile", F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    """Pairs of each node with the smallest node of its key and tile, if the bitmaps let them link. met: key, tile, node; sizes: node, tile, n, bits."""
+    hubs = met.groupBy("key", "tile").agg(F.min("node").alias("hub"))
+    near = met.join(hubs, ["key", "tile"]).where(F.col("node") != F.col("hub")).select("tile", F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     near = near.join(sizes.select("tile", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("x")), ["tile", "a"])
     near = near.join(sizes.select("tile", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("y")), ["tile", "b"])
     near = near.select("a", "b", "n1", "n2", "x", "y")
@@ -228,21 +228,22 @@ def hub_pairs(met: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
 
 def tile_pairs(met: DataFrame, sizes: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs of nodes of one key and different components that the sizes and bitmaps let link.
+    """Pairs of nodes of one key and tile and of different components that the sizes and bitmaps let link.
 
     met: key, tile, node, component; sizes: node, tile, n, bits. A key with more than `block` nodes is worked on in pairs of blocks.
+    Bitmaps are as long as their tile says, and keys of two tiles can be equal by chance, so that a group is of one tile.
     """
-    mixed = met.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2")
-    df = met.join(mixed.select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "key").join(sizes, ["node", "tile"])
+    mixed = met.groupBy("key", "tile").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2")
+    df = met.join(mixed.select("key", "tile", F.ceil(F.col("m") / block).cast("int").alias("blocks")), ["key", "tile"]).join(sizes, ["node", "tile"])
     df = df.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    df = df.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "n", "node", "component", "bits")
-    df = df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "node")
+    df = df.select("key", "tile", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "n", "node", "component", "bits")
+    df = df.repartition("key", "tile", "i", "j").sortWithinPartitions("key", "tile", "i", "j", "n", "node")
 
     def compare(rows: list[tuple]) -> list[tuple[int, int]]:
-        mine, n, node, component = (np.array(c, "int64") for c in zip(*(r[3:7] for r in rows), strict=True))
-        bits = np.frombuffer(b"".join(r[7] for r in rows), "uint64").reshape(len(rows), -1)
-        apart, out = rows[0][1] != rows[0][2], []
+        mine, n, node, component = (np.array(c, "int64") for c in zip(*(r[4:8] for r in rows), strict=True))
+        bits = np.frombuffer(b"".join(r[8] for r in rows), "uint64").reshape(len(rows), -1)
+        apart, out = rows[0][2] != rows[0][3], []
         ends = np.searchsorted(n, 100 * n // percent, "right")  # sorted by size: no larger set can link
         for a in range(len(rows) - 1):
             to = slice(a + 1, int(ends[a]))
@@ -259,7 +260,7 @@ def tile_pairs(met: DataFrame, sizes: DataFrame, percent: int, block: int) -> Da
         for batch in batches:
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and row[:3] != group[0][:3]:
+                if group and row[:4] != group[0][:4]:
                     out += compare(group)
                     group = []
                 group.append(row)

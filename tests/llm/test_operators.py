@@ -806,6 +806,17 @@ def test_jaccard_join_of_chains(spark, none):
     assert jaccard.components(none).count() == 0 and jaccard.keep_one(none).count() == 0
 
 
+def test_key_of_two_tiles(spark):
+    """Among very many keys some are equal by chance: those of two tiles, whose bitmaps differ in length, meet nothing there."""
+    sizes = [(1, 3, 20, bytes(8)), (2, 3, 20, bytes(8)), (3, 9, 300, bytes(64)), (4, 9, 300, bytes(64)), (5, 12, 3000, bytes(512))]
+    met = spark.createDataFrame([(7, tile, node) for node, tile, _, _ in sizes], "key long, tile int, node long")
+    sizes = spark.createDataFrame(sizes, "node long, tile int, n long, bits binary")
+    for block in (1, 2000):
+        pairs = jaccard.tile_pairs(met.withColumn("component", F.col("node")), sizes, 80, block)
+        assert sorted(map(tuple, pairs.collect())) == [(1, 2), (3, 4)]
+    assert sorted(map(tuple, jaccard.hub_pairs(met, sizes, 80).collect())) == [(1, 2), (3, 4)]
+
+
 def test_all_links(spark, odd):
     """Every pair of different sets that links, and how many each document has."""
     rows = [(r["doc_id"], r["text"]) for r in odd.where("doc_id is not null").collect()]
