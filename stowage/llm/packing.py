@@ -4,7 +4,8 @@ Documents are tokenised, cut into pieces of at most `max_tokens` ids, and the hi
 most `max_tokens` numbers, whatever the corpus) is packed on the driver: lengths are placed longest first, each
 into the shortest packs that are open. Packs with equal content are kept as one range of sequence ids, so that
 the plan's size depends on the number of different lengths only. Pieces then take their places by their rank
-within their length.
+within their length. Ids stay out of the ranking: they are shuffled once, to be joined with their places by a number
+that each piece got when it was written.
 
 Null texts are empty and become one end token; repeated rows are packed once each; an empty table gives an
 empty result; other columns are not looked at.
@@ -171,7 +172,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids. Gathered by the driver: the histogram, at most `max_tokens` rows. Sent to executors: the plan, whose
     size depends on the histogram's number of lengths alone.
     """
-    cut = materialise(pieces(docs, id_col, text_col, tokenizer or tokenizer_path(), max_tokens, end_id, with_ids))
+    cut = pieces(docs, id_col, text_col, tokenizer or tokenizer_path(), max_tokens, end_id, with_ids)
+    names = cut.columns
+    cut = materialise(cut.withColumn("__piece", F.monotonically_increasing_id()) if with_ids else cut)
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places, _ = plan(counts, max_tokens)
     table = np.array(sorted(places), "int64").reshape(-1, 6)
@@ -188,11 +191,16 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns = [c for k, c in zip(batch.schema.names, batch.columns, strict=True) if k != "__rank"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(at[:, 3] + turn // np.maximum(at[:, 4], 1)), pa.array(at[:, 5] + length * (turn % np.maximum(at[:, 4], 1)))], [*(k for k in batch.schema.names if k != "__rank"), "sequence_id", "offset"])
 
-    rows = ranked(cut.withColumn("__g", F.col("length")), "__g", ["doc_id", "start", "ids_crc32"], rank_buckets).drop("__g", "__group_rows")
-    names = [c for c in cut.columns]
-    rows = rows.select(*names, "__rank")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return rows.mapInArrow(place, schema)
+    narrow = cut.drop("ids")
+    rows = ranked(narrow.withColumn("__g", F.col("length")), "__g", ["doc_id", "start", "ids_crc32"], rank_buckets).drop("__g", "__group_rows")
+    rows = rows.select(*narrow.columns, "__rank")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema) + ", sequence_id long, offset long"
+    placed = rows.mapInArrow(place, schema)
+    if not with_ids:
+        return placed
+    # the places are hashed and the ids pass by unsorted
+    placed = placed.select("__piece", "sequence_id", "offset").hint("shuffle_hash")
+    return cut.join(placed, "__piece").select(*names, "sequence_id", "offset")
 
 
 def write_sequences(packed: DataFrame, path: str) -> None:

@@ -1019,6 +1019,15 @@ def test_packing(docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_ranks_without_ids(docs):
+    """Ids are neither sorted nor sent to Python again: they pass by the places of their pieces."""
+    out = packing.pack_documents(docs, with_ids=True)
+    steps = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if re.search(r"Sort \[|Window|MapInArrow", x)]
+    assert len(steps) > 3 and not [x for x in steps if re.search(r"\bids#", x)]
+    plain = packing.pack_documents(docs)
+    assert Counter(map(tuple, out.drop("ids").collect())) == Counter(map(tuple, plain.collect()))
+
+
 def test_packing_plan():
     r = random.Random(1)
     for histogram in ({5: 7}, {1: 100000}, {2048: 3, 1000: 10, 30: 500}, {n: r.randint(1, 50) for n in range(1, 2049)}):
