@@ -6,11 +6,13 @@ similarity of their sets is `percent` or more; every such pair counts, however f
 1. Equal sets are one node, so that copies cost nothing more.
 2. Sizes are banded so that linked sets lie in one band or two neighbours; a tile is a band and the top of the one
    below. In a tile linked sets differ in at most d shingles. The shingles are dealt into k = d + r parts by their
-   hash; linked sets agree in r parts at least. A part's checksum is a key.
+   hash; linked sets agree in r parts at least. A part's checksum is a key. A set of n shingles differs from linked
+   ones in (1 / percent - 1) * n at most. With more parts in use than that, it agrees with each in one of these, and
+   its empty parts, which a share of all sets has in common, are no keys.
 3. Keys that one set has alone lead nowhere; a set of whose keys fewer than r are shared links with none. The shared
    keys are few; a bitmap of them (16 bits for each, up to `key_bits`: it only spares work) drops the others before
    they are shuffled.
-   Of k keys the d + 1 rarest suffice to meet (prefix filter), so that the most frequent ones, those of passages that
+   Of a set's keys the d + 1 rarest suffice to meet (prefix filter), so that the most frequent ones, those of passages that
    many documents share, are not used.
 4. Nodes of a key are compared with its smallest node first. What is verified becomes components; of the keys whose
    nodes are still in different components every pair is compared, in blocks. The sizes and the bit counts of the
@@ -92,12 +94,19 @@ def shape(low: int, percent: int) -> tuple[int, int, int]:
     return d, d + max(1, d // 10), min(4096, max(64, 1 << (largest - 1).bit_length()))
 
 
-def keys(s: np.ndarray, tile: int, k: int) -> np.ndarray:
-    """Checksums of the k parts. 48 bits: two that are equal by chance, be it those of two tiles, are a meeting more: a key's nodes are told apart by tile, and pairs are verified."""
+def keys(s: np.ndarray, tile: int, d: int, k: int, percent: int) -> tuple[int, np.ndarray]:
+    """How many keys may differ from a linked set's, and the keys: checksums of those of the k parts that have shingles.
+
+    A linked set differs in d shingles at most, and has p - d of the p keys. A set without more than d keys gets those
+    of empty parts too, all of which count (d is one less than their number), so that two such sets meet as well.
+    48 bits: two that are equal by chance, be it those of two tiles, are a meeting more: a key's nodes are told apart by tile, and pairs are verified.
+    """
     part = ((s >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)  # grows with s, which is sorted
     edges = np.searchsorted(part, np.arange(k + 1, dtype="uint64"))
     sums = np.concatenate([np.zeros(1, "uint64"), np.cumsum(mix(s), dtype="uint64")])
-    return (mix((sums[edges[1:]] - sums[edges[:-1]]) + mix(np.arange(k, dtype="uint64") + np.uint64(tile << 32))) >> np.uint64(16)).view("int64")
+    out = (mix((sums[edges[1:]] - sums[edges[:-1]]) + mix(np.arange(k, dtype="uint64") + np.uint64(tile << 32))) >> np.uint64(16)).view("int64")
+    d, used = min(d, (100 - percent) * len(s) // percent), edges[1:] > edges[:-1]
+    return (d, out[used]) if used.sum() > d else (k - 1, out)
 
 
 def signature(s: np.ndarray, bits: int) -> bytes:
@@ -112,7 +121,7 @@ def tiles(n: int, percent: int) -> Iterator[tuple[int, int, int, int]]:
     for tile in (own, own + 1):
         if tile == own or 100 * n >= percent * low[tile]:
             d, k, bits = shape(low[tile + 1], percent)
-            if d:
+            if d and (100 - percent) * n >= percent:
                 yield tile, d, k, bits
 
 
@@ -137,7 +146,7 @@ def set_keys(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             for text in batch.column(1):
                 if len(s := shingles(text.as_py())):
                     hi, _ = set_hash(s)
-                    rows += [(hi, keys(s, tile, k)) for tile, _, k, _ in tiles(len(s), percent)]
+                    rows += [(hi, keys(s, tile, d, k, percent)[1]) for tile, d, k, _ in tiles(len(s), percent)]
             yield table(rows, ["hi", "keys"], [pa.int64(), pa.list_(pa.int64())])
 
     return docs.mapInArrow(sketch, "hi long, keys array<bigint>")
@@ -149,7 +158,7 @@ SKETCH = "doc_id long, n long, hi long, lo long, own boolean, tile int, d int, k
 def sketches(docs: DataFrame, shingle: int, percent: int, shared: np.ndarray) -> DataFrame:
     """Of docs (i, t): a row for each document (own), and one for each tile in which it can link, with bitmap and shared keys.
 
-    shared: bitmap of the keys that two different sets have. A set with fewer than k - d of them in a tile links with none there.
+    shared: bitmap of the keys that two different sets have. A set with fewer than k - d of them among its k keys of a tile links with none there.
     """
     names = [x.split()[0] for x in SKETCH.split(", ")]
     types = [pa.int64()] * 4 + [pa.bool_()] + [pa.int32()] * 3 + [pa.list_(pa.int64()), pa.binary()]
@@ -164,8 +173,8 @@ def sketches(docs: DataFrame, shingle: int, percent: int, shared: np.ndarray) ->
                 hi, lo = set_hash(s) if len(s) else (None, None)
                 rows.append((doc_id, len(s), hi, lo, True, None, None, None, None, None))
                 for tile, d, k, bits in tiles(len(s), percent) if len(s) and doc_id is not None else ():
-                    found = keys(s, tile, k)
-                    found = found[has_bit(words, found)]
+                    d, found = keys(s, tile, d, k, percent)
+                    k, found = len(found), found[has_bit(words, found)]
                     if len(found) >= k - d:
                         rows.append((doc_id, len(s), hi, lo, False, tile, d, k, found, signature(s, bits)))
             yield table(rows, names, types)

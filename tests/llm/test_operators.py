@@ -817,6 +817,17 @@ def test_key_of_two_tiles(spark):
     assert sorted(map(tuple, jaccard.hub_pairs(met, sizes, 80).collect())) == [(1, 2), (3, 4)]
 
 
+def test_empty_parts_rarely_meet(spark):
+    """Of sets without a shingle in common few meet by the parts that are empty in many; those that link do."""
+    r = random.Random(3)
+    texts = [[f"w{r.randrange(10**9)}" for _ in range(r.randint(20, 60))] for _ in range(300)]
+    texts.append([*texts[0], "one"])
+    docs = spark.createDataFrame(list(enumerate(map(" ".join, texts))), "doc_id long, text string")
+    _, _, met, _ = jaccard.prepared(docs, "doc_id", "text", 1, 80, 1 << 20)
+    nodes = {x["node"] for x in met.collect()}
+    assert {0, 300} <= nodes and len(nodes) <= 30
+
+
 def test_all_links(spark, odd):
     """Every pair of different sets that links, and how many each document has."""
     rows = [(r["doc_id"], r["text"]) for r in odd.where("doc_id is not null").collect()]
